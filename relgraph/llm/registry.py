@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, quality, secret_scan, toxicity, warc
 from .common import prepare, table
+from .oracle import ORACLE
 
 
 def _over(*names: str, function) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,4 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": _over("documents", "pages", function=language_id.digest),
 }
 
-ORACLE: dict[str, str] = {}
+
+
+__all__ = ["ORACLE", "QUERIES"]

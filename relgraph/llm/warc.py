@@ -249,7 +249,7 @@ def digest(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
     write(pages, path)
-    return index(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
+    return index(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def merged(runs: list[list], key: Callable) -> list:
