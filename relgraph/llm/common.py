@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import reach
+
 #: The white space of the contracts, `[\x20\x09-\x0D]`.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,10 +33,7 @@ def prepare(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="relgraph-checkpoint-"))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = sc.environment.get("PYTHONPATH", "")
-    if root not in path.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+    reach(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,7 +75,7 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold about `limit` bytes of text each; one long text stands alone."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0

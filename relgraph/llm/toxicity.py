@@ -48,8 +48,8 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(b"".join(flat), np.uint8)
     if not len(x):
         return np.zeros(0, np.uint64), sizes
-    place = np.arange(len(x))
-    last = np.maximum.accumulate(np.where(x == 32, place, -1))
+    place = np.arange(len(x), dtype=np.int32)
+    last = np.maximum.accumulate(np.where(x == 32, place, np.int32(-1)))
     back = place.copy()
     back[1:] -= last[:-1]  # how far the space that began this word is
     back[0] = 0
@@ -59,6 +59,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         part = wide[:-k] << _U(8 * k)
         part[back[k:] < k] = 0
         out[k:] |= part
+        del part
     first = np.cumsum([0, *[len(f) for f in flat[:-1]]])[[len(f) > 0 for f in flat]]
     keep = np.ones(len(x), bool)
     keep[first] = False  # the space before the first word is no gram
@@ -87,7 +88,7 @@ def _fold(id_col):
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)).cast("int")
 
 
-def count(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, limit: int = 1 << 20) -> DataFrame:
+def count(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, limit: int = 3 << 19) -> DataFrame:
     """(gram, n, n0, n1): counts over all texts, and over those labelled 0 and 1."""
     shared = docs.sparkSession.sparkContext.broadcast((ids, toxic))
 
@@ -259,7 +260,7 @@ def logistic(values: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
     return max(float(theta[0]), 0.0) / scale, float(theta[1])
 
 
-def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 2_000_000, slot_bits: int = 22) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 2_000_000, slot_bits: int = 20) -> DataFrame:
     """Adds `held_out`, `score` and `predicted` to the rows of `docs` (doc_id, text); other columns stay."""
     spark = docs.sparkSession
     known = _labels(labels, fit_rows).toArrow()
