@@ -23,6 +23,7 @@ treated as the largest one and returned as null, `kept` comparing null-safely; a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, kept, mapped, slices, utf8
+from .common import NO_ID, kept, mapped, remove, scratch, slices, utf8
 
 M, ROWS = 64, 4
 BANDS = M // ROWS
@@ -204,16 +205,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     in_play = reps.join(nodes, "node")
     least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     whole = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
-    texts: DataFrame | None = None
+    # Texts of all that shares a bucket, by representative; every comparison reads them from here.
+    path = scratch(docs.sparkSession, "texts")
+    whole.join(nodes, "node", "left_semi").write.parquet(path)
+    texts = docs.sparkSession.read.parquet(path)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        nonlocal texts
-        likely = kept(_likely(pairs, in_play, least))
-        if texts is None:
-            texts = whole
-        wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        held = kept(texts.join(wanted, "node", "left_semi"))
-        return kept(_verified(likely, held, size, percent))
+        return kept(_verified(kept(_likely(pairs, in_play, least)), texts, size, percent))
 
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     links = linked(members.where("node <> lead").select(*pair("node", "lead")).distinct())
@@ -221,26 +219,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     equal = rows.where("n_shingles > 0").join(reps.select(*same, F.col("node").alias("rep")), same).where("__id <> rep").select(F.col("rep").alias("a"), F.col("__id").alias("b")).distinct()
     links = links.unionByName(equal)
     comps = components(links)
-    tried = 0
     open_ = members.select("key", "node", "n")
-    while True:
+    for tried in itertools.count():
         now = open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("node", F.lit(tried)), "node", "comp")).alias("by"))
         now = kept(now.join(mixed.where("c0 < c1").select("key", "by"), "key"))
-        small = now.where(F.col("n") <= SMALL) if tried == 0 else now.where("false")
-        other = small.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-        across = small.join(other, "key").where("node < other and comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        large = now.where((F.col("n") > SMALL) & (F.col("comp") != F.col("by.comp"))).select(*pair("node", "by.node"))
-        new = linked(across.unionByName(large).distinct())
-        tried += 1
-        if tried >= 2 and new.isEmpty() or now.where(F.col("n") > SMALL).isEmpty() and new.isEmpty():
-            break
-        links = links.unionByName(new)
-        if not new.isEmpty():
+        pairs = now.where((F.col("n") > SMALL) & (F.col("comp") != F.col("by.comp"))).select(*pair("node", "by.node"))
+        if tried == 0:
+            small = now.where(F.col("n") <= SMALL)
+            other = small.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+            across = small.join(other, "key").where("node < other and comp <> other_comp")
+            pairs = pairs.unionByName(across.select(F.col("node").alias("a"), F.col("other").alias("b")))
+        new = linked(pairs.distinct())
+        none = new.isEmpty()
+        if not none:
+            links = links.unionByName(new)
             comps = components(links)
+        elif tried >= 2:
+            break
         open_ = now.where(F.col("n") > SMALL).select("key", "node", "n")
-        if tried == 1:
+        if tried == 1:  # only what is still mixed: others have been joined up meanwhile
             open_ = _split(open_, members)
+    remove(docs.sparkSession, path)
     out = rows.join(comps, rows["__id"] == comps["node"], "left")
     real = lambda c: F.when(c < NO_ID, c)
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "__id")).otherwise(F.col("__id"))
