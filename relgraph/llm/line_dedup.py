@@ -66,11 +66,12 @@ class RunStore:
             if len(self.levels[n]) >= self.fanout:
                 rows = self.spark.read.parquet(*self.levels[n])
                 merged = self._write(rows.repartition(*KEYS))
-                for old in self.levels[n]:
-                    remove(self.spark, old)
-                self.levels[n] = []
+                self.levels[n] = []  # the files stay until close(): plans may still read them
                 self._put(n + 1, merged)
 
+    def close(self) -> None:
+        remove(self.spark, self.path)
+
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     line = ascii_lower(F.btrim(F.col("__line"), F.lit(WHITE)))
@@ -108,11 +109,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy("__ord", "__th")
             .agg(F.collect_set("__pos").alias("__gone"))
         )
-        path = f"{store.path}/gone-{store.made:05d}"
-        gone.write.parquet(path)
-        lost = spark.read.parquet(path) if lost is None else lost.unionByName(spark.read.parquet(path))
+        lost = gone if lost is None else lost.unionByName(gone)
     lost = kept(lost)
-    remove(spark, store.path)
+    store.close()
     out = rows.join(lost, ["__ord", "__th"], "left").withColumn("__lines", F.split("__text", "\n", -1))
     lines, gone = F.col("__lines"), F.coalesce("__gone", F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
