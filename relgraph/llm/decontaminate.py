@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from .common import ALNUM, mapped, slices, utf8
 
 WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_built: dict[int, tuple] = {}
+_built: dict[str, tuple] = {}
 
 
 def windows(text: str | None, size: int) -> set[tuple[bytes, ...]]:
@@ -64,7 +65,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
         yield out
 
 
-def _automaton(key: int, coded: tuple) -> tuple[dict[bytes, str], ahocorasick.Automaton]:
+def _automaton(key: str, coded: tuple) -> tuple[dict[bytes, str], ahocorasick.Automaton]:
     if key not in _built:
         codes, strings = coded
         a = ahocorasick.Automaton()
@@ -72,7 +73,8 @@ def _automaton(key: int, coded: tuple) -> tuple[dict[bytes, str], ahocorasick.Au
             a.add_word(s, (len(s), items))
         if strings:
             a.make_automaton()
-        _built.clear()
+        if len(_built) > 3:  # a worker runs few passes at a time
+            _built.clear()
         _built[key] = codes, a
     return _built[key]
 
@@ -102,14 +104,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str =
     first = True
     for block in [*blocks(benchmark, item_col, item_text_col, block_bytes)] or [[]]:
         coded = sc.broadcast(compile_items(block, size))
-        out = mapped(out, _pass(coded, text_col, first), schema)
+        out = mapped(out, _pass(coded, uuid.uuid4().hex, text_col, first), schema)
         first = False
     return out
 
 
-def _pass(coded, text_col: str, first: bool):
+def _pass(coded, key: str, text_col: str, first: bool):
+    """`key` names the automaton in a worker, whatever objects it meets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, automaton = _automaton(coded.id if hasattr(coded, "id") else id(coded), coded.value)
+        codes, automaton = _automaton(key, coded.value)
         for whole in batches:
             for batch in slices(whole, text_col):
                 count, ranges, items = [], [], []

@@ -113,8 +113,13 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
             if more is not None and len(held) * len(more) <= WIDE:
                 held = {a + b for a, b in product(held, more)}
                 continue
-            held = flush(held)
             op, x = item
+            once = exact(x[2]) if op is C.MAX_REPEAT and x[0] >= 1 else None
+            if once and len(held) * len(once) <= WIDE:  # one of the repeats follows, one of them comes before the rest
+                flush({a + b for a, b in product(held, once)})
+                held = once
+                continue
+            held = flush(held)
             if op is C.SUBPATTERN:
                 held = walk(x[3], held)
             elif op is C.MAX_REPEAT and x[0] >= 1:

@@ -19,11 +19,12 @@ scoring needs is broadcast with at most 2^`slot_bits` entries: where hashes meet
 stays, and others score 0. Texts are never shuffled.
 
 Edge cases: null and empty texts have no gram; null ids have no label; of labels that repeat an id the largest counts; a null
-label is none; without labels of both classes all scores are 0; an empty table gives an empty result; rows are scored each.
+label is none; without labels of both classes, or documents for them, all scores are 0; an empty table gives an empty result; rows are scored each.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,25 +212,25 @@ class Lookup:
         return out
 
 
-_lookups: dict[int, Lookup] = {}
+_lookups: dict[str, Lookup] = {}
 
 
-def _lookup(shared) -> Lookup:
-    key = shared._jid if hasattr(shared, "_jid") and shared._jid is not None else id(shared)
+def _lookup(key: str, shared) -> Lookup:
+    """A worker's table, built once; `key` names it, whatever objects the worker meets."""
     if key not in _lookups:
         _lookups.clear()
         _lookups[key] = Lookup(*shared.value)
     return _lookups[key]
 
 
-def evidence(docs: DataFrame, shared) -> DataFrame:
+def evidence(docs: DataFrame, shared, key: str) -> DataFrame:
     """Adds `__value`, the difference of length-normalised log-likelihoods; other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = None
         for whole in batches:
             for batch in slices(whole):
-                lookup = lookup or _lookup(shared)
+                lookup = lookup or _lookup(key, shared)
                 x, sizes = grams(utf8(batch["text"]))
                 sums = np.append(0, np.cumsum(lookup(x), dtype=np.float64))
                 ends = np.cumsum(sizes)
@@ -272,12 +273,14 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 2_000_000, slot_bi
     if any(not (toxic[part] == c).any() for part in (learn, tune) for c in (0, 1)):
         return add(docs, F.lit(0.0))
     table = kept(count(docs, ids[learn], toxic[learn].astype(np.int64)))
-    shared = spark.sparkContext.broadcast(bounded(log_ratios(table), slot_bits))
+    shared, key = spark.sparkContext.broadcast(bounded(log_ratios(table), slot_bits)), uuid.uuid4().hex
     pairs = spark.createDataFrame(known.filter(pa.array(known["fold"].to_numpy() == 4)).select(["doc_id", "toxic"]))
-    fitted = evidence(docs.where(_fold(F.col("doc_id")) == 4).select("doc_id", "text"), shared).select("doc_id", "__value").join(pairs, "doc_id")
+    fitted = evidence(docs.where(_fold(F.col("doc_id")) == 4).select("doc_id", "text"), shared, key).select("doc_id", "__value").join(pairs, "doc_id")
     bins = fitted.groupBy(F.round(F.least(F.greatest(F.col("__value"), F.lit(-10.0)), F.lit(10.0)) * STEPS).alias("bin"), "toxic").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    if len(set(bins["toxic"].to_pylist())) < 2:  # no document of a class in the calibration fold
+        return add(docs, F.lit(0.0))
     slope, intercept = logistic(bins["bin"].to_numpy() / STEPS, bins["toxic"].to_numpy(), bins["n"].to_numpy().astype(float))
-    return add(evidence(docs, shared), F.lit(1.0) / (F.exp(-(F.col("__value") * slope + intercept)) + 1)).drop("__value")
+    return add(evidence(docs, shared, key), F.lit(1.0) / (F.exp(-(F.col("__value") * slope + intercept)) + 1)).drop("__value")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -211,8 +211,8 @@ def _order(row: dict) -> tuple:
     return row["url_key"], row["date"], row["page_id"] is None, row["page_id"] or 0
 
 
-def index(records: DataFrame) -> DataFrame:
-    """Captures in order of (url_key, date, page_id) over all partitions; `runs` come from the tasks that read them."""
+def index(records: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Captures in order of (url_key, date, page_id) over all partitions; runs come from the tasks that read them."""
     names = [x.split()[0] for x in INDEX.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64()}
     types = [kinds[x.split()[1]] for x in INDEX.split(", ")]
@@ -223,7 +223,7 @@ def index(records: DataFrame) -> DataFrame:
 
     order = [F.col("url_key"), F.col("date"), F.coalesce("page_id", F.lit(NO_ID))]
     runs = mapped(records.select(*names[1:]), key, INDEX).withColumn("run", F.spark_partition_id()).sortWithinPartitions(*order)
-    ranges = kept(runs).repartitionByRange(*order)
+    dealt = kept(runs).repartitionByRange(*([ranges] if ranges else []), *order)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices_: dict[int, list[dict]] = {}
@@ -241,7 +241,7 @@ def index(records: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in zip(names, types, strict=True)], names=names)
 
-    return mapped(ranges, merge, INDEX)
+    return mapped(dealt, merge, INDEX)
 
 
 def digest(pages: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,0 +1,31 @@
+import pytest
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts, lang="en", source="s"):
+    """Documents with ids from 0 on; `texts` may hold (id, text) pairs."""
+    rows = [(t if isinstance(t, tuple) else (i, t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame([(i, t, lang, source, len(t or "")) for i, t in rows], SCHEMA)
+
+
+LONG = "word " * 40_000 + "end"
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Nulls in every column, empty, white and very long texts, repeated rows, an id with two texts, columns that clash with ours."""
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n", "en", "a", 3), (4, LONG, "en", "a", 1), (5, "same text in both of these rows", "en", "b", 1), (5, "same text in both of these rows", "en", "b", 1),
+        (6, "one text of an id\nthat has two", "en", "b", 1), (6, "another text of an id\nthat has two", "en", "b", 1), (None, "a text without an id is here too", "de", "b", 1), (7, "Ünïcödé \U0001f600 text ſK", "fr", None, 1),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for clash in ("n_words", "size", "kept", "score", "spans", "n_lines", "target", "taken", "labels", "predicted", "run", "node", "h"):
+        df = df.withColumn(clash, F.lit("mine"))
+    return df
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)

@@ -1,0 +1,249 @@
+"""Near-duplicates, WARC archives and the pipeline against brute force; queries with SQL against DuckDB."""
+
+import base64
+import hashlib
+import math
+import os
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from relgraph.llm import near_dedup, registry, warc
+
+from .conftest import frame
+
+FOLDER = "/root/testdata/sf0.01"
+ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_groups(docs):
+    sets = {i: shingles(t) for i, t in docs}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def corpus(seed, groups, size, edits):
+    random.seed(seed)
+    word = lambda: f"w{random.randint(0, 5000)}"
+    docs = []
+    for _ in range(groups):
+        base = [word() for _ in range(random.randint(60, 300))]
+        for _ in range(random.randint(1, size)):
+            copy = [*base]
+            for _ in range(random.randint(0, edits)):
+                copy[random.randrange(len(copy))] = word()
+            docs.append(" ".join(copy))
+    random.shuffle(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize(("seed", "groups", "size", "edits"), [(1, 30, 6, 5), (2, 4, 50, 4)])
+def test_groups(spark, seed, groups, size, edits):
+    docs = corpus(seed, groups, size, edits) + [(1000, "Three little words"), (1001, "three LITTLE  words"), (1002, ""), (1003, None), (1004, " \n"), (1005, "three little birds")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in near_dedup.digest(frame(spark, docs)).collect()}
+    assert got == brute_groups(docs)
+
+
+def test_chain_is_one_group(spark):
+    """Each text is linked with the next one only, far beyond the first."""
+    words = [f"a{i}" for i in range(400)]
+    docs = [(i, " ".join(words[8 * i : 8 * i + 200])) for i in range(20)]
+    got = {r["component_id"] for r in near_dedup.digest(frame(spark, docs)).collect()}
+    assert got == {0} and {x[1] for x in brute_groups(docs).values()} == {0}
+
+
+def test_sketches_merge_and_estimate():
+    random.seed(3)
+    make = lambda n: np.unique(np.array([random.getrandbits(64) for _ in range(n)], np.uint64))
+    common, a, b = make(800), make(100), make(100)
+    x, y = np.union1d(common, a), np.union1d(common, b)
+    sx, sy, both = near_dedup.sketches([x, y, np.union1d(x, y)])
+    assert (np.maximum(sx, sy) == both).all()
+    many = [near_dedup.estimate(*[near_dedup.sketches([s])[0][None, :] for s in (x, y)], np.array([len(x)]), np.array([len(y)]))[0]]
+    assert abs(many[0] - 0.8) < 0.2
+    assert near_dedup.estimate(sx[None, :], sx[None, :], np.array([len(x)]), np.array([len(x)]))[0] == 1
+    other = near_dedup.sketches([make(900)])
+    assert near_dedup.estimate(sx[None, :], other, np.array([900]), np.array([900]))[0] < 0.2
+
+
+def test_near_oddities(spark, odd, none):
+    got = [tuple(r) for r in near_dedup.digest(odd).collect()]
+    assert len(got) == odd.count() and near_dedup.digest(none).isEmpty()
+    by = defaultdict(list)
+    for i, n, comp, stays in got:
+        by[i].append((n, comp, stays))
+    assert by[1] == [(0, 1, True)] and by[2] == [(0, 2, True)] and by[5] == [(3, 5, True)] * 2 and by[None][0][1:] == (None, True)
+    assert near_dedup.stage(odd).count() == odd.count() and near_dedup.stage(odd).columns == odd.columns
+    same = frame(spark, [(3, "the same five words here"), (None, "the same five words here"), (2, "the same five words here")])
+    assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dedup.digest(same).collect()} == {3: (2, False), None: (2, False), 2: (2, True)}
+    assert [r["doc_id"] for r in near_dedup.stage(same).collect()] == [2]
+
+
+PAGES = [
+    (1, "http://www.Example.com:80/b?q=1#x", "<p>one</p>"), (2, "https://example.com/a", "<p>two</p>"), (3, None, "<p>one</p>"), (4, "http://sub.example.org:8080", None), (5, "http://[bad", ""), (6, "http://ü.example/ä b", "Ünï\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n0\r\n\r\n"),
+    (7, "http://example.com/long", "x" * 300_000), (8, "http://example.com/a", "<p>two</p>"), (9, "http://a.b/\r\nInjected: yes", "\r\n\r\n" * 5 + "WARC/1.1\r\n"), (2**40, "http://z.example/", "\r\n\r\nWARC/1.1\r\n" * 4),
+]
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
+
+
+def test_warc_round_trip(spark, pages, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.write(pages.repartition(3), path)
+    back = {r["page_id"]: r for r in warc.read(spark, path, payloads=True).collect()}
+    first = {}
+    for i, _, html in PAGES:
+        first.setdefault((html or "").encode(), i)
+    assert len(back) == len(PAGES)
+    for i, url, html in PAGES:
+        raw, r = (html or "").encode(), back[i]
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode() and r["payload_bytes"] == len(raw)
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if first[raw] == i else ("revisit", first[raw]))
+        assert r["payload"] == (raw if first[raw] == i else None)
+        if url and "\r" not in url and " " not in url:
+            assert r["url"] == url
+    assert "Injected" not in {k for r in back.values() for k in (r["url"] or "").split("\r\n")[1:]}
+
+
+def test_warc_contract(pages):
+    got = {r["page_id"]: r for r in warc.digest(pages).collect()}
+    assert got[8]["refers_to"] == 2 and got[5]["refers_to"] == 4 and got[1]["record_type"] == "response"
+
+
+def test_files_are_warc(spark, pages, tmp_path):
+    """A plain reader of the format, by headers and lengths, finds every record."""
+    import gzip
+
+    warc.write(pages, f"file://{tmp_path}/w")
+    n = 0
+    for name in os.listdir(tmp_path / "w"):
+        if name.startswith("part"):
+            data = gzip.open(tmp_path / "w" / name).read()
+            while data:
+                assert data.startswith(b"WARC/1.1\r\n")
+                head, _, rest = data.partition(b"\r\n\r\n")
+                length = int(re.search(rb"Content-Length: (\d+)", head)[1])
+                assert rest[length : length + 4] == b"\r\n\r\n"
+                data, n = rest[length + 4 :], n + 1
+    assert n == len(PAGES)
+
+
+def test_warc_oddities(spark, tmp_path):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.digest(empty).isEmpty()
+    rows = spark.createDataFrame([(None, None, "a"), (1, "u", "a"), (1, "u", "a"), (None, None, "b")], "page_id long, url string, html string")
+    got = sorted(map(str, ((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.digest(rows).collect())))
+    assert got == sorted(map(str, [(None, "revisit", 1), (1, "response", None), (1, "response", None), (None, "response", None)]))
+    small = warc.write(rows, f"file://{tmp_path}/s", least=5)
+    assert small is None and {r["record_type"] for r in warc.read(spark, f"file://{tmp_path}/s").collect()} == {"response"}
+
+
+def test_loser_tree():
+    random.seed(6)
+    for _ in range(200):
+        runs = [sorted(random.randint(0, 20) for _ in range(random.randint(0, 12))) for _ in range(random.randint(0, 9))]
+        assert list(warc.LoserTree(runs, lambda x: x)) == warc.merged(runs, lambda x: x)
+
+
+def test_index_is_globally_ordered(spark, tmp_path):
+    """One URL with a third of all captures is spread over ranges, and the order holds across partitions."""
+    url = F.when(F.col("id") % 3 == 0, "http://hot.example/").otherwise(F.concat(F.lit("http://h"), F.col("id") % 17, F.lit(".example/"), F.col("id")))
+    df = spark.range(3000).select(F.col("id").alias("page_id"), url.alias("url"), F.col("id").cast("string").alias("html"), F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id")).alias("ts"))
+    warc.write(df.repartition(6), f"file://{tmp_path}/w", date_col="ts")
+    out = warc.index(warc.read(spark, f"file://{tmp_path}/w"), ranges=5)
+    keys = [(r["url_key"], r["date"], r["page_id"]) for r in out.collect()]
+    assert len(keys) == 3000 and keys == sorted(keys)
+    hot = out.where("url_key = 'example,hot)/'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert hot > 1
+
+
+@pytest.mark.parametrize(("url", "key"), [("http://www.Example.com:80/b?q=1#x", "com,example)/b?q=1"), ("https://example.com", "com,example)/"), ("http://a.b:8080/", "b,a:8080)/"), (None, ""), ("http://[bad", "http://[bad")])
+def test_surt(url, key):
+    assert warc.surt(url) == key
+
+
+def test_pipeline_on_a_fixture(spark, tmp_path):
+    """Each stage's decision against brute force on its own input."""
+    random.seed(9)
+    word = lambda: f"w{random.randint(0, 3000)}"
+    texts = []
+    for i in range(400):
+        words = [word() for _ in range(random.randint(30, 80))]
+        if i % 6 == 0:
+            for k in (3, 9, 15):
+                words[k] = "vilest" + random.choice(["a", "b", "c"])
+        texts.append(" ".join(words))
+    item = " ".join(word() for _ in range(20))
+    texts += [texts[1], texts[2] + " tail", item, "one shared line of text\n" + texts[3][::-1], "one shared line of text\n" + texts[4][::-1]]
+    docs = frame(spark, texts).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontaminate", "mix"]
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        if name != "mix":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{n}")
+        now = spark.read.parquet(f"{tmp_path}/{n}")
+        seen.append({r["doc_id"]: r["text"] for r in now.collect()})
+    toxic = {i for i in range(400) if i % 6 == 0}
+    assert len(toxic - set(seen[0])) > 0.9 * len(toxic) and len(set(range(405)) - toxic - set(seen[0])) < 8
+    assert seen[1][403].startswith("one shared line") and not seen[1][404].startswith("one shared line")
+    groups = brute_groups(list(seen[1].items()))
+    assert set(seen[2]) == {i for i, (_, _, stays) in groups.items() if stays}
+    assert set(seen[2]) - set(seen[3]) == {402}
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"]: r["taken"] for r in whole.collect()} == {r["doc_id"]: r["taken"] for r in now.collect()}
+    assert whole.agg(F.sum("taken")).first()[0] == pytest.approx(sum(len(t.split()) for t in seen[3].values()), abs=3)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables aren't here")
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, FOLDER)
+    columns = sorted(df.columns)
+    plain = lambda v: "nan" if isinstance(v, float) and math.isnan(v) else repr(v)
+    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    result = con.execute(registry.ORACLE[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall())
+
+
+def test_registry():
+    numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES]
+    assert sorted(numbers) == list(range(1, 11)) and set(registry.ORACLE) <= set(registry.QUERIES)
