@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import reach
+from ..functions.session import checkpoint_dir, reach
 
 #: The white space of the contracts, `[\x20\x09-\x0D]`.
 WHITE = " \t\n\x0b\x0c\r"
@@ -30,17 +29,13 @@ ALNUM = bytes(
 
 def prepare(spark: SparkSession) -> None:
     """Sets a checkpoint folder where the cluster names none, and lets Python workers find this package."""
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="relgraph-checkpoint-"))
+    checkpoint_dir(spark)
     reach(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
-    prepare(spark)
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return checkpoint_dir(spark)
 
 
 def scratch(spark: SparkSession, what: str) -> str:
