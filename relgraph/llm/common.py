@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import checkpoint_dir, reach
@@ -56,6 +56,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_with(df: DataFrame, value: Column) -> tuple[DataFrame, int]:
+    """`kept`, and the sum of a value over the rows, observed on the way: no further job asks for it."""
+    prepare(df.sparkSession)
+    seen = Observation()
+    out = df.observe(seen, F.coalesce(F.sum(value.cast("long")), F.lit(0)).alias("sum")).checkpoint(eager=True)
+    return out, int(seen.get["sum"])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,10 +6,10 @@
 2. Documents with equal sets form one class, whose representative is the smallest id. Partial aggregation makes a
    hot class one row per task.
 3. Registers are banded (`ROWS` to a band, chance of no common band at similarity 0.85: 7e-6). Members of a
-   bucket are never paired with each other: each is compared with the bucket's leader, so links stay linear in the
-   members. Then buckets that still hold several components are worked on until none brings a new link:
-   those of up to `SMALL` members by all their pairs across components (a bounded multiple of the members),
-   larger ones with leaders drawn anew, and split by a second band.
+   bucket are never all paired with each other: each is compared with the bucket's leader, so links stay linear in the
+   members. Then buckets that still hold several components are worked on until none brings a new link: with about
+   `LEADERS` leaders drawn anew each time, those of up to `SMALL` members by all pairs across components that are
+   left after that (a bounded multiple of the members), larger ones split by a second band as well.
 4. A candidate is dropped if the likelihood of the two sketches' registers (equal, smaller or larger ones counted, given
    the cardinalities) puts its similarity far under the threshold. The rest is verified on the sets of whole texts.
 5. Components come from min-label propagation with pointer jumping over the links, checkpointed at each step.
@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, kept, mapped, remove, scratch, slices, utf8
+from .common import NO_ID, kept, kept_with, mapped, remove, scratch, slices, utf8
 
 M, ROWS = 64, 4
 BANDS = M // ROWS
 #: Parameters of the sketch: base, rate, largest register.
 BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
-SMALL = 16
+SMALL, LEADERS, NEXT = 16, 2, 1
 _random = np.random.default_rng(20240229)
 _MULTIPLIERS = _random.integers(0, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _random.integers(0, 2**63, M, dtype=np.uint64)
@@ -130,7 +130,7 @@ def _summaries(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _banded(reps: DataFrame) -> DataFrame:
-    """Rows (key, node) for each band."""
+    """Rows (key, node, band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +140,9 @@ def _banded(reps: DataFrame) -> DataFrame:
             keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None, :], regs.shape[:2])
             for i in range(ROWS):
                 keys = _mix(keys * np.uint64(0x10001) + regs[:, :, i] + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch["node"].to_numpy(), BANDS))], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch["node"].to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(batch)))], names=["key", "node", "band"])
 
-    return mapped(reps.select("node", "sketch"), run, "key long, node long")
+    return mapped(reps.select("node", "sketch"), run, "key long, node long, band int")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -187,12 +187,22 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         step = labels.join(near, "node").select("node", "comp", F.least("comp", "low").alias("next"))
         hop = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        step = kept(step.join(hop, "next").select("node", "comp", F.least("next", "far").alias("next")))
+        step = step.join(hop, "next").select("node", "comp", F.least("next", "far").alias("next"))
+        step, changed = kept_with(step, F.col("next") < F.col("comp"))
         labels = step.select("node", F.col("next").alias("comp"))
-        if step.where("next < comp").isEmpty():
+        if not changed:
             return labels
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after new links, worked out between components only."""
+    of = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    lower = components(between)
+    old = comps.join(lower.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return kept(old.unionByName(lower.join(comps, "node", "left_anti").select("node", "comp")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
     rows = kept(_summaries(docs.select("doc_id", "text"), size))
@@ -202,58 +212,63 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     crowd = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
     members = kept(bands.join(crowd, "key"))
     nodes = members.select("node").distinct()
-    in_play = reps.join(nodes, "node")
-    least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
+    in_play = kept(reps.join(nodes, "node"))
+    least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     whole = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
     # Texts of all that shares a bucket, by representative; every comparison reads them from here.
     path = scratch(docs.sparkSession, "texts")
-    whole.join(nodes, "node", "left_semi").write.parquet(path)
+    whole.join(in_play.select("node"), "node", "left_semi").write.parquet(path)
     texts = docs.sparkSession.read.parquet(path)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return kept(_verified(kept(_likely(pairs, in_play, least)), texts, size, percent))
+    def linked(pairs: DataFrame) -> tuple[DataFrame, int]:
+        return kept_with(_verified(_likely(pairs, in_play, least), texts, size, percent), F.lit(1))
 
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    links = linked(members.where("node <> lead").select(*pair("node", "lead")).distinct())
-    # Rows with equal sets, or an id that stands for several sets, are linked by what they share.
-    equal = rows.where("n_shingles > 0").join(reps.select(*same, F.col("node").alias("rep")), same).where("__id <> rep").select(F.col("rep").alias("a"), F.col("__id").alias("b")).distinct()
-    links = links.unionByName(equal)
-    comps = components(links)
-    open_ = members.select("key", "node", "n")
+    links, _ = linked(members.where("node <> lead").select(*pair("node", "lead")).distinct())
+    # An id that stands for several sets links their classes.
+    of_id = rows.where("n_shingles > 0").join(reps.select(*same, F.col("node").alias("rep")), same)
+    several = of_id.groupBy("__id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
+    more = of_id.join(several, "__id").where("a < rep").select("a", F.col("rep").alias("b"))
+    comps = components(links.unionByName(more))
+
+    def still_mixed(buckets: DataFrame, seed: int) -> tuple[DataFrame, int]:
+        """Members of buckets with several components; about `LEADERS` of each bucket lead, drawn by the seed, and once all of small ones."""
+        now = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
+        drawn = F.pmod(F.xxhash64("node", "key", F.lit(seed)), F.lit(1 << 40)) * F.col("n") < LEADERS * (1 << 40)
+        return kept_with(now.join(mixed.select("key"), "key").withColumn("leads", drawn | (F.lit(seed == 1) & (F.col("n") <= SMALL))), F.lit(1))
+
+    open_ = members.select("key", "node", "n", "band")
     for tried in itertools.count():
-        now = open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("node", F.lit(tried)), "node", "comp")).alias("by"))
-        now = kept(now.join(mixed.where("c0 < c1").select("key", "by"), "key"))
-        pairs = now.where((F.col("n") > SMALL) & (F.col("comp") != F.col("by.comp"))).select(*pair("node", "by.node"))
-        if tried == 0:
-            small = now.where(F.col("n") <= SMALL)
-            other = small.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-            across = small.join(other, "key").where("node < other and comp <> other_comp")
-            pairs = pairs.unionByName(across.select(F.col("node").alias("a"), F.col("other").alias("b")))
-        new = linked(pairs.distinct())
-        none = new.isEmpty()
-        if not none:
-            links = links.unionByName(new)
-            comps = components(links)
+        now, left = still_mixed(open_, tried)
+        if not left:
+            break
+        other = now.where("leads").select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+        across = (F.col("comp") != F.col("other_comp")) & (F.lit(tried != 1) | (F.col("n") > SMALL) | (F.col("node") < F.col("other")))
+        new, found = linked(now.join(other, "key").where(across).select(*pair("node", "other")).distinct())
+        if found:
+            comps = _joined(comps, new)
         elif tried >= 2:
             break
-        open_ = now.where(F.col("n") > SMALL).select("key", "node", "n")
+        open_ = now.where(F.lit(tried == 0) | (F.col("n") > SMALL)).select("key", "node", "n", "band")
         if tried == 1:  # only what is still mixed: others have been joined up meanwhile
-            open_ = _split(open_, members)
+            open_ = _split(still_mixed(open_, tried)[0].select("key", "node", "n", "band"), members)
     remove(docs.sparkSession, path)
-    out = rows.join(comps, rows["__id"] == comps["node"], "left")
+    of_set = reps.join(comps, "node", "left").select(*same, F.coalesce("comp", "node").alias("comp"))
+    out = rows.join(of_set, same, "left")
     real = lambda c: F.when(c < NO_ID, c)
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "__id")).otherwise(F.col("__id"))
     return out.select(real(F.col("__id")).alias("doc_id"), "n_shingles", real(comp).alias("component_id"), (F.col("__id") == comp).alias("kept"))
 
 
 def _split(large: DataFrame, members: DataFrame) -> DataFrame:
-    """Crowded buckets, and each of them divided by a second band that its members share."""
-    second = large.select("key", "node").join(members.select("node", F.col("key").alias("key2")), "node").where("key < key2")
-    second = second.select(F.xxhash64("key", "key2").alias("key"), "node")
+    """Crowded buckets, and each of them divided by each of the next `NEXT` bands that its members share."""
+    other = members.select("node", F.col("key").alias("key2"), F.col("band").alias("band2"))
+    second = large.select("key", "node", "band").join(other, "node").where(F.pmod(F.col("band2") - F.col("band"), F.lit(BANDS)).between(1, NEXT))
+    second = second.select(F.xxhash64("key", "key2").alias("key"), "node", "band")
     counts = second.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Any of them gets leaders of its own, so it counts as crowded.
-    return large.unionByName(second.join(counts, "key").select("key", "node", F.greatest("n", F.lit(SMALL + 1)).alias("n")))
+    return large.unionByName(second.join(counts, "key").select("key", "node", F.greatest("n", F.lit(SMALL + 1)).alias("n"), "band"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
