@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -64,6 +65,15 @@ def kept_with(df: DataFrame, value: Column) -> tuple[DataFrame, int]:
     return out, int(seen.get["sum"])
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, so that shuffles and checkpoints that no plan reads any more leave the disks.
+
+    Loops need it: Spark deletes those files only when the driver's objects for them are collected.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, kept, kept_with, mapped, remove, scratch, slices, utf8
+from .common import NO_ID, kept, kept_with, mapped, release, remove, scratch, slices, utf8
 
 M, ROWS = 64, 4
 BANDS = M // ROWS
@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
 
     open_ = members.select("key", "node", "n", "band")
     for tried in itertools.count():
+        release(docs.sparkSession)
         now, left = still_mixed(open_, tried)
         if not left:
             break
