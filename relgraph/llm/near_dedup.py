@@ -9,7 +9,8 @@
    bucket are never all paired with each other: each is compared with the bucket's leader, so links stay linear in the
    members. Then buckets that still hold several components are worked on until none brings a new link: with about
    `LEADERS` leaders drawn anew each time, those of up to `SMALL` members by all pairs across components that are
-   left after that (a bounded multiple of the members), larger ones split by a second band as well.
+   left after that (a bounded multiple of the members), larger ones split by a second band as well. What is mixed even
+   then is joined exactly, by prefixes of sets in the order of rising frequency, between components only.
 4. A candidate is dropped if the likelihood of the two sketches' registers (equal, smaller or larger ones counted, given
    the cardinalities) puts its similarity far under the threshold. The rest is verified on the sets of whole texts.
 5. Components come from min-label propagation with pointer jumping over the links, checkpointed at each step.
@@ -39,6 +40,8 @@ BANDS = M // ROWS
 #: Parameters of the sketch: base, rate, largest register.
 BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
 SMALL, LEADERS, NEXT = 16, 2, 1
+#: Counters of shingles' frequencies (2^`SLOTS`), and the rows of a shingle that one salt stands for.
+SLOTS, SALTED = 20, 256
 _random = np.random.default_rng(20240229)
 _MULTIPLIERS = _random.integers(0, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _random.integers(0, 2**63, M, dtype=np.uint64)
@@ -179,6 +182,59 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return mapped(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
+def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """How many sets hold a shingle of a slot; whatever meets there, both sides of a pair see the same table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << SLOTS, np.int64)
+        for whole in batches:
+            for batch in slices(whole):
+                for s in shingle_sets(utf8(batch["text"]), size):
+                    np.add.at(sums, (s >> np.uint64(64 - SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["slot", "n"])
+
+    out = np.zeros(1 << SLOTS, np.int64)
+    found = mapped(texts.select("text"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows (token, place, node, comp, n) of the rarest shingles of each set: sets as similar as `percent` share one of them."""
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for whole in batches:
+            for batch in slices(whole):
+                sets = shingle_sets(utf8(batch["text"]), size)
+                first = [s[np.lexsort((s, often[(s >> np.uint64(64 - SLOTS)).astype(np.int64)]))][: len(s) + percent * len(s) // -100 + 1] for s in sets]
+                sizes = [len(f) if len(s) else 0 for f, s in zip(first, sets, strict=True)]
+                flat = np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)
+                place = np.concatenate([*[np.arange(n) for n in sizes], np.zeros(0, np.int64)])
+                own = [np.repeat(batch[c].to_numpy(), sizes) for c in ("node", "comp")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (flat, place, *own, np.repeat([len(s) for s in sets], sizes))], names=["token", "place", "node", "comp", "n"])
+
+    return mapped(texts.select("text", "node", "comp"), run, "token long, place long, node long, comp long, n long")
+
+
+def _across(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that hold all as similar as `percent`: a prefix-filter join.
+
+    Sizes and places of a shared shingle bound what two sets can have in common. A frequent shingle is salted.
+    """
+    rows = kept(_prefixes(texts, size, percent))
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
+    rows = rows.join(often.select("token", F.ceil(F.col("rows") / SALTED).alias("salts")), "token")
+    one = rows.select("token", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("place").alias("ia"))
+    two = rows.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("ib"))
+    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    # What they share lies at or after the first shingle that both prefixes have.
+    near &= (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
+    return one.join(two, ["token", "salt"]).where(near).select("a", "b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that links reach, for each node that has one."""
     both = kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -254,6 +310,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         open_ = now.where(F.lit(tried == 0) | (F.col("n") > SMALL)).select("key", "node", "n", "band")
         if tried == 1:  # only what is still mixed: others have been joined up meanwhile
             open_ = _split(still_mixed(open_, tried)[0].select("key", "node", "n", "band"), members)
+    now, left = still_mixed(open_, tried)
+    if left:
+        of_node = now.select("node", "comp").distinct()
+        new, found = kept_with(_verified(_across(texts.join(of_node, "node"), size, percent), texts, size, percent), F.lit(1))
+        if found:
+            comps = _joined(comps, new)
     remove(docs.sparkSession, path)
     of_set = reps.join(comps, "node", "left").select(*same, F.coalesce("comp", "node").alias("comp"))
     out = rows.join(of_set, same, "left")

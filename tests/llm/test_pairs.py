@@ -67,6 +67,28 @@ def test_groups(spark, seed, groups, size, edits):
     assert got == brute_groups(docs)
 
 
+def template(seed, pages, own, pairs, common):
+    """Pages of one template with own parts, just under the threshold to each other but for pairs with a few more words in common."""
+    random.seed(seed)
+    some = lambda n: [f"w{random.randint(0, 10**6)}" for _ in range(n)]
+    base = some(400)
+    docs = []
+    for k in range(pages):
+        docs.append(base + some(own))
+        if k < pairs:
+            docs.append(docs[-1][: 400 + common] + some(own - common))
+    random.shuffle(docs)
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+def test_pairs_in_crowded_buckets(spark):
+    """Many texts in a bucket, a few of which are linked with one other."""
+    docs = template(5, 120, 38, 30, 5)
+    want = brute_groups(docs)
+    assert sum(stays for *_, stays in want.values()) == 120
+    assert {r["doc_id"]: tuple(r)[1:] for r in near_dedup.digest(frame(spark, docs)).collect()} == want
+
+
 def test_chain_is_one_group(spark):
     """Each text is linked with the next one only, far beyond the first."""
     words = [f"a{i}" for i in range(400)]
