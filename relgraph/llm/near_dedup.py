@@ -7,10 +7,10 @@
    hot class one row per task.
 3. Registers are banded (`ROWS` to a band, chance of no common band at similarity 0.85: 7e-6). Members of a
    bucket are never all paired with each other: each is compared with the bucket's leader, so links stay linear in the
-   members. Then buckets that still hold several components are worked on until none brings a new link: with about
-   `LEADERS` leaders drawn anew each time, those of up to `SMALL` members by all pairs across components that are
-   left after that (a bounded multiple of the members), larger ones split by a second band as well. What is mixed even
-   then is joined exactly, by prefixes of sets in the order of rising frequency, between components only.
+   members. Then buckets that still hold several components get about `LEADERS` leaders drawn anew, and those of up to
+   `SMALL` members are compared by all pairs across the components left after that (a bounded multiple of the members).
+   Members of larger ones that are mixed even then are joined exactly, by prefixes of sets in the order of rising
+   frequency, between components only.
 4. A candidate is dropped if the likelihood of the two sketches' registers (equal, smaller or larger ones counted, given
    the cardinalities) puts its similarity far under the threshold. The rest is verified on the sets of whole texts.
 5. Components come from min-label propagation with pointer jumping over the links, checkpointed at each step.
@@ -24,7 +24,6 @@ treated as the largest one and returned as null, `kept` comparing null-safely; a
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ M, ROWS = 64, 4
 BANDS = M // ROWS
 #: Parameters of the sketch: base, rate, largest register.
 BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
-SMALL, LEADERS, NEXT = 16, 2, 1
+SMALL, LEADERS = 16, 2
 #: Counters of shingles' frequencies (2^`SLOTS`), and the rows of a shingle that one salt stands for.
 SLOTS, SALTED = 20, 256
 _random = np.random.default_rng(20240229)
@@ -295,7 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         return kept_with(now.join(mixed.select("key"), "key").withColumn("leads", drawn | (F.lit(seed == 1) & (F.col("n") <= SMALL))), F.lit(1))
 
     open_ = members.select("key", "node", "n", "band")
-    for tried in itertools.count():
+    for tried in range(2):  # what they don't compare is left to the join below
         release(docs.sparkSession)
         now, left = still_mixed(open_, tried)
         if not left:
@@ -305,12 +304,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         new, found = linked(now.join(other, "key").where(across).select(*pair("node", "other")).distinct())
         if found:
             comps = _joined(comps, new)
-        elif tried >= 2:
-            break
         open_ = now.where(F.lit(tried == 0) | (F.col("n") > SMALL)).select("key", "node", "n", "band")
-        if tried == 1:  # only what is still mixed: others have been joined up meanwhile
-            open_ = _split(still_mixed(open_, tried)[0].select("key", "node", "n", "band"), members)
-    now, left = still_mixed(open_, tried)
+    now, left = still_mixed(open_, 2)
     if left:
         of_node = now.select("node", "comp").distinct()
         new, found = kept_with(_verified(_across(texts.join(of_node, "node"), size, percent), texts, size, percent), F.lit(1))
@@ -324,16 +319,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     return out.select(real(F.col("__id")).alias("doc_id"), "n_shingles", real(comp).alias("component_id"), (F.col("__id") == comp).alias("kept"))
 
 
-def _split(large: DataFrame, members: DataFrame) -> DataFrame:
-    """Crowded buckets, and each of them divided by each of the next `NEXT` bands that its members share."""
-    other = members.select("node", F.col("key").alias("key2"), F.col("band").alias("band2"))
-    second = large.select("key", "node", "band").join(other, "node").where(F.pmod(F.col("band2") - F.col("band"), F.lit(BANDS)).between(1, NEXT))
-    second = second.select(F.xxhash64("key", "key2").alias("key"), "node", "band")
-    counts = second.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Any of them gets leaders of its own, so it counts as crowded.
-    return large.unionByName(second.join(counts, "key").select("key", "node", F.greatest("n", F.lit(SMALL + 1)).alias("n"), "band"))
-
-
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each group: the one with the smallest id; of rows that repeat an id, all."""
     lone = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__keep")).distinct()

@@ -81,11 +81,12 @@ def template(seed, pages, own, pairs, common):
     return [(i, " ".join(d)) for i, d in enumerate(docs)]
 
 
-def test_pairs_in_crowded_buckets(spark):
+@pytest.mark.parametrize(("pages", "pairs"), [(120, 30), (20, 8)])
+def test_pairs_in_crowded_buckets(spark, pages, pairs):
     """Many texts in a bucket, a few of which are linked with one other."""
-    docs = template(5, 120, 38, 30, 5)
+    docs = template(5, pages, 38, pairs, 5)
     want = brute_groups(docs)
-    assert sum(stays for *_, stays in want.values()) == 120
+    assert sum(stays for *_, stays in want.values()) == pages
     assert {r["doc_id"]: tuple(r)[1:] for r in near_dedup.digest(frame(spark, docs)).collect()} == want
 
 
