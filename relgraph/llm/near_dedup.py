@@ -39,6 +39,8 @@ BANDS = M // ROWS
 #: Parameters of the sketch: base, rate, largest register.
 BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
 SMALL, LEADERS = 16, 2
+#: Standard deviations that an estimate may fall short by: 1.3e-7 of pairs at 0.85 with a common band fall shorter.
+MARGIN = 5.5
 #: Counters of shingles' frequencies (2^`SLOTS`), and the rows of a shingle that one salt stands for.
 SLOTS, SALTED = 20, 256
 _random = np.random.default_rng(20240229)
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     members = kept(bands.join(crowd, "key"))
     nodes = members.select("node").distinct()
     in_play = kept(reps.join(nodes, "node"))
-    least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
+    least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     whole = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
     # Texts of all that shares a bucket, by representative; every comparison reads them from here.
     path = scratch(docs.sparkSession, "texts")

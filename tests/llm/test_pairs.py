@@ -90,6 +90,14 @@ def test_pairs_in_crowded_buckets(spark, pages, pairs):
     assert {r["doc_id"]: tuple(r)[1:] for r in near_dedup.digest(frame(spark, docs)).collect()} == want
 
 
+def test_likelihood_spares_links():
+    """Of pairs at the threshold that share a band, fewer fall under the margin than have no band in common (7e-6)."""
+    least = near_dedup.M * (0.85 - near_dedup.MARGIN * (0.85 * 0.15 / near_dedup.M) ** 0.5)
+    free = near_dedup.M - near_dedup.ROWS
+    lost = sum(math.comb(free, k) * 0.85**k * 0.15 ** (free - k) for k in range(free + 1) if k + near_dedup.ROWS < least)
+    assert lost < 1e-6
+
+
 def test_chain_is_one_group(spark):
     """Each text is linked with the next one only, far beyond the first."""
     words = [f"a{i}" for i in range(400)]
