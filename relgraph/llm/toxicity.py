@@ -15,8 +15,8 @@ that the counts don't use, maps it to a score; empty texts get the curve's value
 
 Parameters: rows with crc32(doc_id) mod 5 = 0 are never learnt from, 4 is the calibration fold. At most about
 `fit_rows` labels (those of the smallest hashes of ids) are used; their ids are broadcast. The table of log ratios that
-scoring needs is broadcast with at most 2^`slot_bits` entries: where hashes meet, the gram seen most in labelled texts
-stays, and others score 0. Texts are never shuffled.
+scoring needs is broadcast in blocks of about 2^`slot_bits` entries, all of them; further blocks are further map-only
+passes, and the rows are written between passes. Texts are never shuffled.
 
 Edge cases: null and empty texts have no gram; null ids have no label; of labels that repeat an id the largest counts; a null
 label is none; without labels of both classes, or documents for them, all scores are 0; an empty table gives an empty result; rows are scored each.
@@ -164,13 +164,15 @@ def log_ratios(table: DataFrame) -> DataFrame:
     return rows.where((F.col("off") >= SIGMAS) & (F.abs("ratio") >= FACTOR)).drop("off")
 
 
-def bounded(ratios: DataFrame, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted grams and their ratios, one for each slot of a hash at most."""
-    rows = ratios.groupBy(F.pmod(F.xxhash64("gram"), F.lit(1 << slot_bits)).alias("slot"))
-    best = rows.agg(F.max(F.struct("seen", "gram", "ratio")).alias("x")).select("x.gram", "x.ratio").toArrow()
-    keys = best["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], best["ratio"].to_numpy()[order]
+def blocks(ratios: DataFrame, slot_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams and their ratios, about 2^`slot_bits` at a time, at least one block."""
+    rows = kept(ratios.select("gram", "ratio"))
+    n = max(1, -(-rows.count() // (1 << slot_bits)))
+    for i in range(n):
+        part = rows.where(F.pmod(F.xxhash64("gram"), F.lit(n)) == i).toArrow()
+        keys = part["gram"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        yield keys[order], part["ratio"].to_numpy()[order]
 
 
 class Lookup:
@@ -223,9 +225,15 @@ def _lookup(key: str, shared) -> Lookup:
     return _lookups[key]
 
 
-def evidence(docs: DataFrame, shared, key: str) -> DataFrame:
-    """Adds `__value`, the difference of length-normalised log-likelihoods; other columns stay."""
+def evidence(docs: DataFrame, tables: list[tuple]) -> DataFrame:
+    """Adds `__value`, the difference of length-normalised log-likelihoods; other columns stay. `tables` holds (broadcast block, key)."""
+    out = docs.withColumn("__value", F.lit(0.0))
+    for n, (shared, key) in enumerate(tables):
+        out = mapped(kept(out) if n else out, _pass(shared, key), T.StructType([*docs.schema.fields, T.StructField("__value", T.DoubleType())]))
+    return out.withColumn("__value", F.signum("__value") * F.log1p(F.abs("__value") / UNIT))
 
+
+def _pass(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = None
         for whole in batches:
@@ -235,10 +243,9 @@ def evidence(docs: DataFrame, shared, key: str) -> DataFrame:
                 sums = np.append(0, np.cumsum(lookup(x), dtype=np.float64))
                 ends = np.cumsum(sizes)
                 mean = (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)
-                values = np.sign(mean) * np.log1p(np.abs(mean) / UNIT)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, "__value"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(batch["__value"].to_numpy() + mean)], names=batch.schema.names)
 
-    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("__value", T.DoubleType())]))
+    return run
 
 
 #: The calibration fold is summed in this many steps for each unit of the value, so that what is collected doesn't grow.
@@ -273,14 +280,14 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 2_000_000, slot_bi
     if any(not (toxic[part] == c).any() for part in (learn, tune) for c in (0, 1)):
         return add(docs, F.lit(0.0))
     table = kept(count(docs, ids[learn], toxic[learn].astype(np.int64)))
-    shared, key = spark.sparkContext.broadcast(bounded(log_ratios(table), slot_bits)), uuid.uuid4().hex
+    tables = [(spark.sparkContext.broadcast(block), uuid.uuid4().hex) for block in blocks(log_ratios(table), slot_bits)]
     pairs = spark.createDataFrame(known.filter(pa.array(known["fold"].to_numpy() == 4)).select(["doc_id", "toxic"]))
-    fitted = evidence(docs.where(_fold(F.col("doc_id")) == 4).select("doc_id", "text"), shared, key).select("doc_id", "__value").join(pairs, "doc_id")
+    fitted = evidence(docs.where(_fold(F.col("doc_id")) == 4).select("doc_id", "text"), tables).select("doc_id", "__value").join(pairs, "doc_id")
     bins = fitted.groupBy(F.round(F.least(F.greatest(F.col("__value"), F.lit(-10.0)), F.lit(10.0)) * STEPS).alias("bin"), "toxic").agg(F.count(F.lit(1)).alias("n")).toArrow()
     if len(set(bins["toxic"].to_pylist())) < 2:  # no document of a class in the calibration fold
         return add(docs, F.lit(0.0))
     slope, intercept = logistic(bins["bin"].to_numpy() / STEPS, bins["toxic"].to_numpy(), bins["n"].to_numpy().astype(float))
-    return add(evidence(docs, shared, key), F.lit(1.0) / (F.exp(-(F.col("__value") * slope + intercept)) + 1)).drop("__value")
+    return add(evidence(docs, tables), F.lit(1.0) / (F.exp(-(F.col("__value") * slope + intercept)) + 1)).drop("__value")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Repetition, decontamination, licences, languages and toxicity against brute force and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -219,6 +220,18 @@ def test_toxicity_held_out(spark, labelled):
     assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.95
 
 
+def test_all_ratios_score(spark):
+    """Every ratio counts, in however many blocks."""
+    docs = frame(spark, ["abc abd abe bcd", "abc xyz ab", "", None])
+    x = sorted({int(g) for t in docs.collect() for g in toxicity.grams([(t["text"] or "").encode()])[0]})
+    ratios = spark.createDataFrame([(int.from_bytes(g.to_bytes(8, "big"), "big", signed=True), 1, 1.0) for g in x], "gram long, seen long, ratio float")
+    parts = list(toxicity.blocks(ratios, 3))
+    assert len(parts) > 1 and sorted(int(g) for keys, _ in parts for g in keys) == x
+    tables = [(spark.sparkContext.broadcast(p), f"ratios{i}") for i, p in enumerate(parts)]
+    full = math.log1p(1 / toxicity.UNIT)
+    assert [r["__value"] for r in toxicity.evidence(docs, tables).orderBy("doc_id").collect()] == pytest.approx([full, full, 0, 0])
+
+
 def test_held_out_labels_dont_matter(spark, labelled):
     docs, labels = labelled
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
