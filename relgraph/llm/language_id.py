@@ -37,7 +37,8 @@ DECLARED, PATH, DOMAIN = 0.9, 0.8, 0.7
 HOST_MASS, DOMAIN_MASS = 20.0, 50.0
 #: National suffixes, each beside the language that most of its pages use.
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pl": "pl", "pt": "pt", "br": "pt", "se": "sv", "jp": "ja", "ru": "ru", "cn": "zh"}
-ROOT = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+OPENS = re.compile(rb"(?i)<(?:!--|(script|style)\b|html\b)")
+LANG = re.compile(rb"(?i)\blang\s*=\s*(?:[\"']\s*)?([a-z]{2,3})\b")
 SKIP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]+;")
 _U = np.uint64
 
@@ -46,6 +47,24 @@ def visible(html: bytes) -> bytes:
     return SKIP.sub(b" ", html)
 
 
+def declared(html: bytes) -> str | None:
+    """The language that a root tag outside of comments, scripts and styles names, wherever it stands; each byte is passed a few times at most."""
+    low, at = html.lower(), 0
+    while m := OPENS.search(low, at):
+        if m[1] or low.startswith(b"<!--", m.start()):
+            end = low.find(b"</" + m[1] if m[1] else b"-->", m.end() - 2)
+            if end < 0:
+                return None
+            at = end + 3
+            continue
+        at = low.find(b">", m.end())
+        if at < 0:
+            at = len(low)
+        if lang := LANG.search(low[m.end() : at]):
+            return lang[1].decode()
+    return None
+
+
 def _slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed grams of up to 3 bytes (with the space that begins a word) of all texts, and how many each has."""
     packed, sizes = grams(texts)
@@ -91,14 +110,13 @@ def address(url: str | None) -> tuple[str | None, str | None]:
 def witnesses(url: str | None, html: bytes, names: list[str]) -> tuple[str | None, str | None, str | None]:
     """Languages that the markup, the path and the top-level domain name, where they are among `names`."""
     known = lambda x: x if x in names else None
-    m = ROOT.search(html[:4096])  # a root element stands at the start
     try:
         parts = urlsplit(url or "")
         path, host = parts.path, parts.hostname or ""
     except ValueError:
         path, host = "", ""
     first = next((x for x in path.lower().split("/") if x), "")
-    return known(m[1].decode().lower()) if m else None, known(re.split("[-_]", first)[0]) if len(first) in (2, 5) else None, known(COUNTRIES.get(host.rsplit(".", 1)[-1]))
+    return known(declared(html)), known(re.split("[-_]", first)[0]) if len(first) in (2, 5) else None, known(COUNTRIES.get(host.rsplit(".", 1)[-1]))
 
 
 def likelihoods(rows: DataFrame, names: list[str], table: np.ndarray, markup: bool) -> DataFrame:

@@ -177,6 +177,14 @@ def test_languages(spark):
     assert got[6]["lang"] is not None and all(0 < r["posterior"] <= 1 for r in got.values())
 
 
+def test_declared_language_far_from_the_start():
+    far = b"<!DOCTYPE html><!-- <html lang='en'> " + b"licence " * 1280 + b"--><script>'<html lang=es>'" + b" " * 5000 + b"</script>\n<HTML class='x' " + b" " * 5000 + b"Lang = 'de-AT'><body>"
+    assert language_id.witnesses(None, far, ["de", "en", "es"])[0] == "de"
+    for page in (b"<html><p>lang=de</p>", b"<!-->", b"<!--" * 200_000, b"<script" * 200_000, b"<html " * 200_000, b"<html lang=" + b" " * 500_000):
+        assert language_id.declared(page) is None
+    assert language_id.declared(b"<!--><html lang=fr>") == "fr"
+
+
 def test_host_prior_decides_without_evidence(spark):
     rows = [(i, "der und die nicht ein auf für über und der", "de", "x", 1) for i in range(1, 60)] + [(i, "the and of with that this from there is a", "en", "y", 1) for i in range(100, 160)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
