@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest id; of rows that repeat an id, all."""
+    """One document of each group: the one with the smallest id; of rows that repeat an id, all. The threshold is op7's 0.85."""
     lone = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__keep")).distinct()
     return docs.join(lone, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == lone["__keep"], "left_semi")
 
