@@ -6,11 +6,12 @@
 2. Documents with equal sets form one class, whose representative is the smallest id. Partial aggregation makes a
    hot class one row per task.
 3. Registers are banded (`ROWS` to a band, chance of no common band at similarity 0.85: 7e-6). Members of a
-   bucket are never all paired with each other: each is compared with the bucket's leader, so links stay linear in the
-   members. Then buckets that still hold several components get about `LEADERS` leaders drawn anew, and those of up to
-   `SMALL` members are compared by all pairs across the components left after that (a bounded multiple of the members).
-   Members of larger ones that are mixed even then are joined exactly, by prefixes of sets in the order of rising
-   frequency, between components only.
+   bucket are never all paired with each other: each is compared with the bucket's smallest member, so these links stay
+   linear in the members. Members of buckets that then still hold several components are joined exactly, between
+   components only, by prefixes of their sets in the order of rising frequency: the larger set offers its rarest
+   (100 - percent) / 100 shingles, the smaller one its rarest (100 - percent) / (100 + percent), and what stands before a
+   shared one bounds what two sets can have in common. Texts of one template differ in more than that share, so the
+   template's shingles, the frequent ones, are never keys.
 4. A candidate is dropped if the likelihood of the two sketches' registers (equal, smaller or larger ones counted, given
    the cardinalities) puts its similarity far under the threshold. The rest is verified on the sets of whole texts.
 5. Components come from min-label propagation with pointer jumping over the links, checkpointed at each step.
@@ -32,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, kept, kept_with, mapped, release, remove, scratch, slices, utf8
+from .common import NO_ID, kept, kept_with, mapped, remove, scratch, slices, utf8
 
 M, ROWS = 64, 4
 BANDS = M // ROWS
 #: Parameters of the sketch: base, rate, largest register.
 BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
-SMALL, LEADERS = 16, 2
 #: Standard deviations that an estimate may fall short by: 1.3e-7 of pairs at 0.85 with a common band fall shorter.
 MARGIN = 5.5
 #: Counters of shingles' frequencies (2^`SLOTS`), and the rows of a shingle that one salt stands for.
@@ -134,7 +134,7 @@ def _summaries(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _banded(reps: DataFrame) -> DataFrame:
-    """Rows (key, node, band)."""
+    """Rows (key, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +144,9 @@ def _banded(reps: DataFrame) -> DataFrame:
             keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None, :], regs.shape[:2])
             for i in range(ROWS):
                 keys = _mix(keys * np.uint64(0x10001) + regs[:, :, i] + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch["node"].to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(batch)))], names=["key", "node", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch["node"].to_numpy(), BANDS))], names=["key", "node"])
 
-    return mapped(reps.select("node", "sketch"), run, "key long, node long, band int")
+    return mapped(reps.select("node", "sketch"), run, "key long, node long")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -210,8 +210,8 @@ def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 sets = shingle_sets(utf8(batch["text"]), size)
-                first = [s[np.lexsort((s, often[(s >> np.uint64(64 - SLOTS)).astype(np.int64)]))][: len(s) + percent * len(s) // -100 + 1] for s in sets]
-                sizes = [len(f) if len(s) else 0 for f, s in zip(first, sets, strict=True)]
+                first = [s[np.lexsort((s, often[(s >> np.uint64(64 - SLOTS)).astype(np.int64)]))][: (100 - percent) * len(s) // 100 + 1] for s in sets]
+                sizes = [len(f) for f in first]
                 flat = np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)
                 place = np.concatenate([*[np.arange(n) for n in sizes], np.zeros(0, np.int64)])
                 own = [np.repeat(batch[c].to_numpy(), sizes) for c in ("node", "comp")]
@@ -223,17 +223,24 @@ def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
 def _across(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that hold all as similar as `percent`: a prefix-filter join.
 
-    Sizes and places of a shared shingle bound what two sets can have in common. A frequent shingle is salted.
+    The larger set of a pair (of equal ones that of the larger node) probes, the smaller one is found by its shorter
+    prefix. Of a shingle, members of the component that holds it most often don't meet each other: `part` 0 takes
+    probes of others to all, `part` 1 probes of that component to others. What many sets are found by is salted.
     """
     rows = kept(_prefixes(texts, size, percent))
-    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-    rows = rows.join(often.select("token", F.ceil(F.col("rows") / SALTED).alias("salts")), "token")
-    one = rows.select("token", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("place").alias("ia"))
-    two = rows.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("ib"))
-    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    short = F.col("place") <= F.floor(F.col("n") * (100 - percent) / (100 + percent))
+    by_comp = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum(short.cast("long")).alias("found"))
+    of_token = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("found").alias("found"), F.count(F.lit(1)).alias("comps"))
+    of_token = of_token.where("comps > 1 and found > 0").select("token", "main", F.ceil(F.col("found") / SALTED).alias("salts"))
+    rows = rows.join(of_token.hint("merge"), "token")
+    parts = F.explode(F.when(F.col("comp") == F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    one = rows.where(short).select("token", parts.alias("part"), F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("ib"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+    two = rows.select("token", (F.col("comp") == F.col("main")).cast("int").alias("part"), salts.alias("salt"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("place").alias("ia"))
+    near = (F.col("ca") != F.col("cb")) & (F.struct("nb", "b") < F.struct("na", "a")) & (100 * F.col("nb") >= percent * F.col("na"))
     # What they share lies at or after the first shingle that both prefixes have.
     near &= (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
-    return one.join(two, ["token", "salt"]).where(near).select("a", "b").distinct()
+    return two.join(one, ["token", "part", "salt"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,11 +272,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     rows = kept(_summaries(docs.select("doc_id", "text"), size))
     same = ["k1", "k2", "n_shingles"]
     reps = kept(rows.where("n_shingles > 0").groupBy(*same).agg(F.min("__id").alias("node"), F.min("sketch").alias("sketch")))
-    bands = _banded(reps).distinct()
-    crowd = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
-    members = kept(bands.join(crowd, "key"))
-    nodes = members.select("node").distinct()
-    in_play = kept(reps.join(nodes, "node"))
+    bands = _banded(reps)
+    crowd = bands.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
+    members = kept(bands.join(crowd.select("key", "lead").hint("merge"), "key").select("key", "node", "lead"))
+    in_play = kept(reps.join(members.select("node").distinct(), "node", "left_semi"))
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     whole = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
     # Texts of all that shares a bucket, by representative; every comparison reads them from here.
@@ -280,37 +286,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     def linked(pairs: DataFrame) -> tuple[DataFrame, int]:
         return kept_with(_verified(_likely(pairs, in_play, least), texts, size, percent), F.lit(1))
 
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    links, _ = linked(members.where("node <> lead").select(*pair("node", "lead")).distinct())
+    links, _ = linked(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     # An id that stands for several sets links their classes.
     of_id = rows.where("n_shingles > 0").join(reps.select(*same, F.col("node").alias("rep")), same)
     several = of_id.groupBy("__id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
     more = of_id.join(several, "__id").where("a < rep").select("a", F.col("rep").alias("b"))
     comps = components(links.unionByName(more))
-
-    def still_mixed(buckets: DataFrame, seed: int) -> tuple[DataFrame, int]:
-        """Members of buckets with several components; about `LEADERS` of each bucket lead, drawn by the seed, and once all of small ones."""
-        now = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-        drawn = F.pmod(F.xxhash64("node", "key", F.lit(seed)), F.lit(1 << 40)) * F.col("n") < LEADERS * (1 << 40)
-        return kept_with(now.join(mixed.select("key"), "key").withColumn("leads", drawn | (F.lit(seed == 1) & (F.col("n") <= SMALL))), F.lit(1))
-
-    open_ = members.select("key", "node", "n", "band")
-    for tried in range(2):  # what they don't compare is left to the join below
-        release(docs.sparkSession)
-        now, left = still_mixed(open_, tried)
-        if not left:
-            break
-        other = now.where("leads").select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-        across = (F.col("comp") != F.col("other_comp")) & (F.lit(tried != 1) | (F.col("n") > SMALL) | (F.col("node") < F.col("other")))
-        new, found = linked(now.join(other, "key").where(across).select(*pair("node", "other")).distinct())
-        if found:
-            comps = _joined(comps, new)
-        open_ = now.where(F.lit(tried == 0) | (F.col("n") > SMALL)).select("key", "node", "n", "band")
-    now, left = still_mixed(open_, 2)
+    now = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
+    of_node, left = kept_with(now.join(mixed.select("key").hint("merge"), "key", "left_semi").select("node", "comp").distinct(), F.lit(1))
     if left:
-        of_node = now.select("node", "comp").distinct()
-        new, found = kept_with(_verified(_across(texts.join(of_node, "node"), size, percent), texts, size, percent), F.lit(1))
+        new, found = linked(_across(texts.join(of_node, "node"), size, percent))
         if found:
             comps = _joined(comps, new)
     remove(docs.sparkSession, path)
@@ -322,7 +308,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest id; of rows that repeat an id, all. The threshold is op7's 0.85."""
+    """One document of each group: the one with the smallest id; of rows that repeat an id, all. The threshold is op7's 0.85 (0.8 or more is asked)."""
     lone = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__keep")).distinct()
     return docs.join(lone, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == lone["__keep"], "left_semi")
 

@@ -81,7 +81,7 @@ def template(seed, pages, own, pairs, common):
     return [(i, " ".join(d)) for i, d in enumerate(docs)]
 
 
-@pytest.mark.parametrize(("pages", "pairs"), [(120, 30), (20, 8)])
+@pytest.mark.parametrize(("pages", "pairs"), [(540, 60), (20, 8)])
 def test_pairs_in_crowded_buckets(spark, pages, pairs):
     """Many texts in a bucket, a few of which are linked with one other."""
     docs = template(5, pages, 38, pairs, 5)
