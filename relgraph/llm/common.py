@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,13 +64,11 @@ def kept_with(df: DataFrame, value: Column) -> tuple[DataFrame, int]:
     return out, int(seen.get["sum"])
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage, so that shuffles and checkpoints that no plan reads any more leave the disks.
-
-    Loops need it: Spark deletes those files only when the driver's objects for them are collected.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def spared(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`work` on documents whose own columns named like added ones are set aside; the result has the documents' columns."""
+    own = {c: f"__own_{c}" for c in added if c in docs.columns}
+    out = work(docs.withColumnsRenamed(own)).drop(*added)
+    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

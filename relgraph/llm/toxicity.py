@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, kept, mapped, slices, utf8
+from .common import ALNUM, kept, mapped, slices, spared, utf8
 
 ORDERS = (8, 5, 3, 1)
 DISCOUNT = 0.75
@@ -296,7 +296,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted to be toxic."""
-    own = {c: f"__own_{c}" for c in ("held_out", "score", "predicted") if c in docs.columns}
-    out = score(docs.withColumnsRenamed(own), labels).where("predicted = 0")
-    return out.drop("held_out", "score", "predicted").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+    """The documents that aren't predicted to be toxic, with their own columns."""
+    return spared(docs, ("held_out", "score", "predicted"), lambda own: score(own, labels).where("predicted = 0"))
