@@ -4,12 +4,13 @@ From each rule's regular expression the driver derives a Boolean query over trig
 match must hold all trigrams of at least one clause. The index has a posting (gram, document) for each gram of
 the rules' vocabulary. Postings are intersected by counting, per document and clause, the clause's grams; a
 document with all of them is a candidate, and only candidates are verified with the expression. Rules without
-mandatory trigrams (runs of hex digits, say) scan every text. Texts that hold no gram of the vocabulary have no
-posting, so they are never shuffled.
+mandatory trigrams (runs of hex digits, say) scan every text. Texts that satisfy no clause can't be candidates, so they
+are never shuffled; what the index has of the others is joined to them.
 
 Edge cases: a null text is empty and gives no span; repeated rows and repeated ids are scanned row by row
 (candidates are a filter, the verification decides on the row's own text); null ids are joined null-safely;
-an empty table gives an empty result; matches that tie on the start are ordered by their rule's place.
+an empty table gives an empty result; matches that tie on the start are ordered by their rule's place; a column named
+`spans` is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -153,11 +154,15 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.filter(F.aggregate(rows, start, step, lambda acc: acc["out"]), lambda s: s["g"] >= rule.least)
 
 
+def _folded(text_col: str) -> Column:
+    """An array of the lower-cased text alone: as a lambda's argument it is computed once, however often it is used."""
+    return F.array(F.lower(text_of(text_col)))
+
+
 def postings(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The inverted index, restricted to a vocabulary: rows (gram, id), gram being a place in `grams`."""
-    low = docs.select(F.col(id_col).alias("__id"), F.lower(text_of(text_col)).alias("__low"))
-    found = F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return low.select("__id", F.explode(found).alias("gram"))
+    found = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
+    return docs.select(F.col(id_col).alias("__id"), F.explode(F.flatten(F.transform(_folded(text_col), found))).alias("gram"))
 
 
 def candidates(index: DataFrame, grams: list[str], queries: dict[str, list[frozenset[str]]]) -> DataFrame:
@@ -184,12 +189,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     prepare(docs.sparkSession)
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted(set().union(*(c for q in queries.values() for c in q)))
-    low, text = F.lower(text_of(text_col)), text_of(text_col)
-    posted = reduce(lambda a, b: a | b, [F.contains(low, F.lit(g)) for g in grams], F.lit(False))
-    hits = candidates(postings(docs, grams, id_col, text_col), grams, queries).withColumnRenamed("__id", "__key")
-    inside = docs.where(posted)
-    inside = inside.join(hits, inside[id_col].eqNullSafe(hits["__key"]), "left").drop("__key")
-    outside = docs.where(~posted).withColumn("__kinds", F.lit(None).cast("array<string>"))
+    text = text_of(text_col)
+    none = F.lit(None).cast("array<string>")
+    if grams:
+        held = lambda low, clause: reduce(lambda a, b: a & b, [F.contains(low, F.lit(g)) for g in sorted(clause)])
+        met = F.exists(_folded(text_col), lambda low: reduce(lambda a, b: a | b, [held(low, c) for q in queries.values() for c in q]))
+        hits = candidates(postings(docs, grams, id_col, text_col), grams, queries).withColumnRenamed("__id", "__key")
+        inside = docs.where(met)
+        inside = inside.join(hits, inside[id_col].eqNullSafe(hits["__key"]), "left").drop("__key")
+        docs = inside.unionByName(docs.where(~met).withColumn("__kinds", none))
+    else:
+        docs = docs.withColumn("__kinds", none)
 
     def one(rank: int, rule: Rule) -> Column:
         ok = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)) if rule.kind in queries else text.rlike(rule.pattern)
@@ -197,7 +207,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         return F.when(ok, spans).otherwise(F.array().cast("array<struct<at:int,rank:int,upto:int>>"))
 
     found = F.array_sort(F.concat(*[one(i, r) for i, r in enumerate(rules)]))
-    return inside.unionByName(outside).withColumn("spans", found).drop("__kinds")
+    return docs.withColumn("spans", found).drop("__kinds")
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
