@@ -8,10 +8,12 @@ Documents with a smaller hash take one pass more; those of the boundary hash sha
 the same id and text have the same hash), so that each source meets its budget to the word.
 
 Sources are one row each after aggregation, and so are their budgets; a source with a third of all rows is 256 rows
-of a histogram. Whether their table is broadcast is left to adaptive execution, which knows its size.
+of a histogram. Tables of one row a source are measured: up to `SMALL` bytes they are broadcast, beyond that each of their rows
+is repeated for `SALTS` salts, over which the rows of a source are dealt. Documents are never shuffled by their source alone.
 
 Edge cases: null texts have size 0 and take nothing; a null source is a source of its own and the last; equal hashes
-share a rest in proportion to their sizes, rounded down; an empty table gives an empty result; other columns stay.
+share a rest in proportion to their sizes, rounded down; an empty table gives an empty result; columns named like an added one
+are replaced, all others stay, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import WORD, kept, text_of
 
 #: Bits of a document's hash, and of one level of the histogram.
 BITS, STEP = 56, 8
+#: Bytes up to which a table of sources is broadcast, and how many parts a source's rows are dealt to otherwise.
+SMALL, SALTS = 8 << 20, 64
 
 
 def word_count(text: Column) -> Column:
@@ -58,11 +62,20 @@ def budgets(totals: DataFrame, weights: list[int], most: int) -> DataFrame:
     return rows.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Adds `size`, `source_size`, `target` and `taken` to every row; other columns stay."""
+def _by_source(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", small: int | None = None) -> DataFrame:
+    """Joins rows with a kept table of at most one row for each source (and bucket)."""
+    size = table.agg(F.sum(F.octet_length("__s.name") + 128).alias("size")).first()["size"] or 0
+    if size <= (SMALL if small is None else small):
+        return rows.join(F.broadcast(table), on, how)
+    table = table.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("__salt", F.pmod("__h", F.lit(SALTS)).cast("int")).join(table, [*on, "__salt"], how).drop("__salt")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", small: int | None = None) -> DataFrame:
+    """Adds `size`, `source_size`, `target` and `taken` to every row; other columns stay. `small` overrides `SMALL`."""
     key = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))
-    sized = docs.withColumns({"size": word_count(text_of(text_col)), "__h": _hash(id_col, text_col), "__s": key})
-    level = kept(sized.select("__s", "size", "__h"))
+    sized = docs.withColumns({"__size": word_count(text_of(text_col)), "__h": _hash(id_col, text_col), "__s": key})
+    level = kept(sized.select("__s", F.col("__size").alias("size"), "__h"))
     totals = level.groupBy("__s").agg(F.sum("size").alias("source_size"))
     totals = totals.select(F.when(~F.col("__s.none"), F.col("__s.name")).alias("source"), "source_size")
     plan = budgets(totals, list(weights), most)
@@ -78,21 +91,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id
         run = F.sum("n").over(W.partitionBy("__s").orderBy("b"))
         cross = sums.withColumn("run", run).join(open_, "__s").where((F.col("run") - F.col("n") <= F.col("left")) & (F.col("left") < F.col("run")))
         cut = kept(cross.select("__s", "b", (F.col("left") - F.col("run") + F.col("n")).alias("left"), "n", "hashes"))
-        level = level.join(cut.select("__s", "b"), (level["__s"] == cut["__s"]) & (bucket == cut["b"]), "left_semi")
+        level = _by_source(level.withColumn("b", bucket), cut.select("__s", "b"), ["__s", "b"], "left_semi", small).drop("b")
         open_ = cut.select("__s", "left")
         if cut.where("hashes > 1").isEmpty():
             break
         level = kept(level)
-    edge = level.join(cut, "__s").groupBy("__s").agg(F.max("__h").alias("edge"), F.max("left").alias("share"), F.max("n").alias("among"))
+    edge = _by_source(level, cut.drop("b"), ["__s"], small=small).groupBy("__s").agg(F.max("__h").alias("edge"), F.max("left").alias("share"), F.max("n").alias("among"))
     plan = plan.join(edge, "__s", "left")
-    out = sized.join(plan, "__s")
+    plan = kept(plan.select("__s", F.struct("source_size", "target", "passes", "left", "edge", "share", "among").alias("__p")))
+    out = _by_source(sized, plan, ["__s"], small=small)
+    get = lambda name: F.col(f"__p.{name}")
     more = (
-        F.when((F.col("left") > 0) & (F.col("__h") < F.col("edge")), F.col("size"))
-        .when((F.col("left") > 0) & (F.col("__h") == F.col("edge")), F.expr("cast(cast(share as decimal(19,0)) * size div among as bigint)"))
+        F.when((get("left") > 0) & (F.col("__h") < get("edge")), F.col("__size"))
+        .when((get("left") > 0) & (F.col("__h") == get("edge")), F.expr("cast(cast(__p.share as decimal(19,0)) * __size div __p.among as bigint)"))
         .otherwise(0)
     )
-    out = out.withColumn("taken", (F.col("passes") * F.col("size") + more).cast("long"))
-    return out.drop("__s", "__h", "passes", "left", "edge", "share", "among")
+    taken = (get("passes") * F.col("__size") + more).cast("long")
+    return out.withColumns({"size": F.col("__size"), "source_size": get("source_size"), "target": get("target"), "taken": taken}).drop("__s", "__h", "__p", "__size")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -102,5 +117,4 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """The documents of the mix: those of which it takes words, with `taken` and what led to it."""
-    clash = [c for c in ("size", "source_size", "target", "taken") if c in docs.columns]
-    return mix(docs.drop(*clash)).where("taken > 0")
+    return mix(docs).where("taken > 0")
