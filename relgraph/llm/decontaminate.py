@@ -1,17 +1,19 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised items.
 
 Items and texts are normalised alike (A-Z lower-cased, words of digits, letters and non-ASCII characters). Each
-word of the items is coded as one character, each window of `window` words (or a whole shorter item) as a
-string over those, and all strings go into one automaton, so a text is scanned once, in time linear in its
-words; words that no item has are coded as a character that no window holds. Word positions map back to the
-original text: `spans` gives character ranges there.
+word of the items is coded as one character. Any window of `window` words holds a whole piece of half that length, rounded
+up, that begins at a multiple of it in the item; these pieces, and items shorter than a window, go into one automaton,
+whose size so is that of the items and not of all their windows. A text is scanned once; where a piece is met, the text
+is compared with the item to both sides, and a run of `window` words or more is hit. Words that no item has are coded as a
+character that no piece holds. Word positions map back to the original text: `spans` gives character ranges there.
 
-The benchmark is broadcast in blocks of at most `block_bytes` of item text, gathered one at a time; each block is a
-map-only pass that carries the hits on, so memory stays bounded for any benchmark and no row is shuffled.
+The benchmark is broadcast in blocks of at most about `block_bytes` of item text and `WORDS_MOST` distinct words, gathered one
+at a time; long items are divided into parts that overlap by a window. Each block is a map-only pass that carries the hits on,
+and the rows are written between passes, so memory stays bounded for any benchmark and no row is shuffled.
 
 Edge cases: null and empty texts have no words and aren't contaminated; items without words are ignored; items that
 repeat an id count once; items with equal windows are all reported; repeated rows are scanned each; an empty
-benchmark hits nothing; an empty table gives an empty result; other columns stay.
+benchmark hits nothing; an empty table gives an empty result; columns named like an added one are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -27,72 +29,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, mapped, slices, utf8
+from .common import ALNUM, kept, mapped, slices, spared, utf8
 
 WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: Distinct words of a block (codes are characters), and words of a part of a long item.
+WORDS_MOST, PART = 900_000, 100_000
 _built: dict[str, tuple] = {}
 
 
-def windows(text: str | None, size: int) -> set[tuple[bytes, ...]]:
-    words = (text or "").encode().translate(ALNUM).split()
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(ALNUM).split()
 
 
-def compile_items(items: list[tuple[object, str | None]], size: int) -> tuple[dict[bytes, str], list[tuple[str, list[str]]]]:
-    """The words' codes, and the coded windows with the items that hold them."""
+def compile_items(items: list[tuple[object, str | None]], size: int) -> tuple[dict[bytes, str], tuple[int, list[tuple[str, list[str]]]]]:
+    """The words' codes, and the coded items, each once, with the ids of those that are equal."""
     codes: dict[bytes, str] = {}
     held: dict[str, set[str]] = {}
     for item, text in items:
-        for window in windows(text, size):
-            for word in window:
-                if word not in codes:
-                    n = len(codes) + 1
-                    codes[word] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
-            held.setdefault("".join(codes[w] for w in window), set()).add(str(item))
-    return codes, [(k, sorted(v)) for k, v in held.items()]
-
-
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    out, held = [], 0
+        words = _words(text)
+        for word in words:
+            if word not in codes:
+                n = len(codes) + 1
+                codes[word] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
+        if words:
+            held.setdefault("".join([codes[w] for w in words]), set()).add(str(item))
+    return codes, (size, [(k, sorted(v)) for k, v in held.items()])
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, size: int = 13) -> Iterator[list[tuple[object, str | None]]]:
+    out: list[tuple[object, str | None]] = []
+    held, distinct = 0, set()
     for item, text in benchmark.select(item_col, text_col).toLocalIterator():
-        size = len((text or "").encode())
-        if out and held + size > block_bytes:
-            yield out
-            out, held = [], 0
-        out.append((item, text))
-        held += size
+        words = _words(text)
+        parts = [text] if len(words) <= PART else [b" ".join(words[i : i + PART + size - 1]).decode("utf-8", "replace") for i in range(0, len(words) - size + 1, PART)]
+        for part in parts:
+            n = len((part or "").encode())
+            if out and (held + n > block_bytes or len(distinct) > WORDS_MOST):
+                yield out
+                out, held, distinct = [], 0, set()
+            out.append((item, part))
+            held += n
+            distinct.update(_words(part))
     if out:
         yield out
 
 
-def _automaton(key: str, coded: tuple) -> tuple[dict[bytes, str], ahocorasick.Automaton]:
+class Matcher:
+    """The automaton over pieces and short items, and the items that pieces are extended in."""
+
+    def __init__(self, size: int, items: list[tuple[str, list[str]]]):
+        self.size, self.items = size, items
+        piece = (size + 1) // 2
+        found: dict[str, tuple[list[str], list[tuple[int, int]]]] = {}
+        for n, (coded, ids) in enumerate(items):
+            if len(coded) < size:
+                found.setdefault(coded, ([], []))[0].extend(ids)
+            else:
+                for at in range(0, len(coded) - piece + 1, piece):
+                    found.setdefault(coded[at : at + piece], ([], []))[1].append((n, at))
+        self.automaton = ahocorasick.Automaton()
+        for coded, (ids, places) in found.items():
+            self.automaton.add_word(coded, (len(coded), ids, places))
+        if found:
+            self.automaton.make_automaton()
+
+    def __call__(self, coded: str) -> tuple[list[list[int]], set[str]]:
+        """Ranges of hit places, merged, and the items."""
+        ranges: list[list[int]] = []
+        found: set[str] = set()
+        upto: dict[tuple[int, int], int] = {}  # of an item laid at a place, where its last run ended
+        for end, (length, ids, places) in self.automaton.iter(coded) if len(self.automaton) else ():
+            at = end - length + 1
+            if ids:
+                found.update(ids)
+                ranges.append([at, end + 1])
+            for n, offset in places:
+                if upto.get((n, at - offset), 0) > at:
+                    continue
+                item, own = self.items[n]
+                a, b, shift = at, end + 1, offset - at
+                while a > 0 and a + shift > 0 and coded[a - 1] == item[a - 1 + shift]:
+                    a -= 1
+                while b < len(coded) and b + shift < len(item) and coded[b] == item[b + shift]:
+                    b += 1
+                upto[n, at - offset] = b
+                if b - a >= self.size:
+                    found.update(own)
+                    ranges.append([a, b])
+        return _merged(ranges), found
+
+
+def _automaton(key: str, coded: tuple) -> tuple[dict[bytes, str], Matcher]:
+    """A worker's matcher, built once and kept until another block's takes its place."""
     if key not in _built:
-        codes, strings = coded
-        a = ahocorasick.Automaton()
-        for s, items in strings:
-            a.add_word(s, (len(s), items))
-        if strings:
-            a.make_automaton()
-        if len(_built) > 3:  # a worker runs few passes at a time
-            _built.clear()
-        _built[key] = codes, a
+        _built.clear()
+        _built[key] = coded[0], Matcher(*coded[1])
     return _built[key]
 
 
-def find(text: bytes, codes: dict[bytes, str], automaton: ahocorasick.Automaton) -> tuple[int, list[list[int]], set[str]]:
+def find(text: bytes, codes: dict[bytes, str], matcher: Matcher) -> tuple[int, list[list[int]], set[str]]:
     """Number of words, the merged ranges of hit words, and the items."""
     words = text.translate(ALNUM).split()
-    ranges: list[list[int]] = []
-    items: set[str] = set()
-    if len(automaton):
-        get = codes.get
-        for end, (length, own) in automaton.iter("".join([get(w, "\0") for w in words])):
-            items.update(own)
-            at = end - length + 1
-            while ranges and ranges[-1][1] >= at:  # ends rise, so only the last ranges can touch
-                at = min(at, ranges.pop()[0])
-            ranges.append([at, end + 1])
-    return len(words), ranges, items
+    get = codes.get
+    return len(words), *matcher("".join([get(w, "\0") for w in words]))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
@@ -101,25 +140,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str =
     out = docs.drop(*[f.name for f in added])
     schema = T.StructType(out.schema.fields + added)
     sc = docs.sparkSession.sparkContext
-    first = True
-    for block in [*blocks(benchmark, item_col, item_text_col, block_bytes)] or [[]]:
-        coded = sc.broadcast(compile_items(block, size))
+    coded = None
+    for block in blocks(benchmark, item_col, item_text_col, block_bytes, size):
+        if coded:
+            out = kept(out)
+            coded.destroy()  # the rows it gave are written
+        first, coded = coded is None, sc.broadcast(compile_items(block, size))
         out = mapped(out, _pass(coded, uuid.uuid4().hex, text_col, first), schema)
-        first = False
-    return out
+    return out if coded else mapped(out, _pass(sc.broadcast(compile_items([], size)), uuid.uuid4().hex, text_col, True), schema)
 
 
 def _pass(coded, key: str, text_col: str, first: bool):
     """`key` names the automaton in a worker, whatever objects it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, automaton = _automaton(key, coded.value)
+        codes, matcher = _automaton(key, coded.value)
         for whole in batches:
             for batch in slices(whole, text_col):
                 count, ranges, items = [], [], []
                 old = [None] * len(batch) if first else list(zip(batch["hit_ranges"].to_pylist(), batch["item_ids"].to_pylist(), strict=True))
                 for text, before in zip(utf8(batch[text_col]), old, strict=True):
-                    n, r, i = find(text, codes, automaton)
+                    n, r, i = find(text, codes, matcher)
                     if before:
                         r, i = _merged(r + before[0]), i | set(before[1])
                     count.append(n)
@@ -163,8 +204,9 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated."""
-    return _judged(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+    """The documents that aren't contaminated, with their own columns."""
+    added = ("n_words", "hit_ranges", "item_ids", "n_hit", "contaminated")
+    return spared(docs, added, lambda own: _judged(own, benchmark).where(~F.col("contaminated")))
 
 
 def sha_of(items: set[str]) -> str:
