@@ -3,8 +3,9 @@
 Texts are normalised to words as for decontamination. The automaton holds the phrases as words between single
 spaces, so a match starts and ends at word borders, overlapping ones included. Where it meets an identifier tag
 (`SPDX-License-Identifier`), the rest of that line in the original text is read as an expression: identifiers,
-`and`, `or`, `with` (binding tightest in the order with, and, or) and parentheses. What can't be parsed gives no
-label. Labels are those of the phrases, and the method's own ones: identifiers of expressions as `spdx:<id>`, the
+`and`, `or`, `with` (binding tightest in the order with, and, or) and parentheses. What can't be parsed, or names
+what isn't an identifier (a known family and form, `LicenseRef-...`, after `with` an exception), gives no label. Of
+further phrases that begin at one word only the longest counts; the contract's base phrases all count. Labels are those of the phrases, and the method's own ones: identifiers of expressions as `spdx:<id>`, the
 most permissive choice as `choice:<id and ...>`, and further notices (`bsd`, `cc-by`, `mpl`, `isc`, `unlicense`).
 
 The score is how surely the text carries a licence: 1 - product of (1 - weight) over distinct evidence, a tag
@@ -51,6 +52,13 @@ TAG = "spdx license identifier"
 TAG_LINE = re.compile(rb"(?i)spdx-license-identifier[ \t]*:?[ \t]*([^\r\n]*)")
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 RANK = {"or": 1, "and": 2, "with": 3}
+#: Identifiers are a family, mostly with a version and a form; these are the common ones of the public list.
+FAMILIES = (
+    r"0bsd|afl|agpl|apache|apsl|artistic|beerware|blueoak|bsd|bsl|bzip2|cc-by|cc-by-sa|cc-by-nc|cc-by-nd|cc-by-nc-sa|cc-by-nc-nd|cc0|cddl|cecill|cecill-b|cecill-c|cpal|cpl|curl|ecl|efl|epl|eupl|ftl"
+    r"|gfdl|gpl|hpnd|ijg|ipl|isc|lgpl|libpng|lppl|mit|mit-cmu|mpl|ms-pl|ms-rl|mulanpsl|ncsa|nposl|odbl|ofl|openssl|osl|php|postgresql|psf|python|qpl|ruby|sgi-b|sleepycat|ssh|sspl|unicode|unicode-dfs|unlicense|upl|vim|w3c|wtfpl|x11|xfree86|zlib|zpl"
+)
+IDENTIFIER = re.compile(rf"(?:(?:{FAMILIES})(?:-\d+(?:\.\d+)*)?(?:-(?:only|or-later|clause(?:-[a-z]+)*))?\+?|bsd-\d-clause(?:-[a-z]+)*|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|none|noassertion)")
+EXCEPTION = re.compile(r"[a-z0-9.-]*exception(?:-\d+(?:\.\d+)*)?|llvm-exception|linux-syscall-note|additionref-[a-z0-9.-]+")
 #: Identifiers by how little they ask, first the most permissive; others rank last.
 PERMISSIVE = ("0bsd", "unlicense", "cc0-1.0", "mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0", "mpl-2.0", "lgpl-2.1-only", "lgpl-3.0-only", "gpl-2.0-only", "gpl-3.0-only", "agpl-3.0-only")
 
@@ -88,6 +96,19 @@ def parse(text: str) -> list[str] | None:
     return out + ops[::-1]
 
 
+def known(postfix: list[str]) -> bool:
+    """Whether all operands are identifiers, those right of `with` exceptions."""
+    stack: list[bool | str] = []
+    for token in postfix:
+        if token not in RANK:
+            stack.append(token)
+            continue
+        b, a = stack.pop(), stack.pop()
+        good = lambda x, form: x is True or isinstance(x, str) and form.fullmatch(x) is not None
+        stack.append(good(a, IDENTIFIER) and good(b, EXCEPTION if token == "with" else IDENTIFIER))
+    return stack[0] is True or isinstance(stack[0], str) and IDENTIFIER.fullmatch(stack[0]) is not None
+
+
 def evaluate(postfix: list[str]) -> tuple[set[str], tuple[str, ...]]:
     """All identifiers, and the choice that asks least: `or` chooses, `and` and `with` join."""
     rank = {x: i for i, x in enumerate(PERMISSIVE)}
@@ -126,9 +147,15 @@ def scan_text(text: bytes, a: ahocorasick.Automaton) -> dict:
     weights: dict[str, float] = {}
     places = [(end, phrase, n) for end, (phrase, n) in a.iter(joined)]
     last, spaces = 0, 0
+    longest: dict[int, int] = {}  # by where they begin
+    for end, phrase, n in places:
+        begin = end - len(phrase) - 1
+        longest[begin] = max(longest.get(begin, 0), n)
     for end, phrase, n in places:
         spaces += joined.count(" ", last, end)  # ends rise; the space at `end` isn't counted
         last = end
+        if phrase not in BASE and n < longest[end - len(phrase) - 1]:
+            continue
         seen.add(phrase)
         if phrase in BASE:
             base.append((spaces - n, BASE[phrase]))
@@ -139,7 +166,8 @@ def scan_text(text: bytes, a: ahocorasick.Automaton) -> dict:
     if TAG in seen:
         weights[TAG] = 0.3
         for m in TAG_LINE.finditer(text):
-            if postfix := parse(m[1].decode("utf-8", "replace")):
+            postfix = parse(m[1].decode("utf-8", "replace"))
+            if postfix and known(postfix):
                 ids, choice = evaluate(postfix)
                 labels |= {f"spdx:{x}" for x in ids}
                 labels.add("choice:" + " and ".join(choice))
