@@ -1,14 +1,17 @@
 """WARC archives, and an index of capture histories by external merging.
 
 Writing: payload digests are grouped, so the smallest id of each becomes the response and the others revisit it; digests, not
-payloads, meet in that shuffle. Records are then built row by row and written by Spark's text writer, whose line
+payloads, meet in that shuffle. Which rows revisit is broadcast where that is at most `SMALL` rows, so no payload is shuffled;
+beyond that, rows and their payloads meet the revisits in a join. Records are then built row by row and written by Spark's text writer, whose line
 separator is the blank line that ends a record (CRLF CRLF), so files are plain WARC 1.1 wherever Spark can write, and a
 lost task is written anew. Reading splits at the start of the next record. A payload that holds that very mark is sent in
 chunks (HTTP transfer coding) which break it, so every record is read back whole; `Content-Length` is verified.
 
 Index: captures are read from the archives, keyed by URL in sort-friendly form (SURT), and each task sorts its own ones: a run.
-Captures are dealt to ranges of (key, timestamp, id), so that one URL with a third of all captures is spread as
-well, and each range merges its slices of the k runs with a tournament tree of losers, one comparison per level.
+The runs are written to the shared folder. Captures are dealt to ranges of (key, timestamp, id) of about `RANGE` captures at
+most, so that one URL with a third of all captures is spread as well and a task's memory has a bound; each range gets its
+slices of the k runs one after another, as Spark sorts them (on disk, if need be), and merges them with a tournament tree of
+losers, one comparison per level, reading ahead `AHEAD` rows of each slice.
 
 Edge cases: null payloads are empty; an empty payload is one like others; equal ids with equal payloads are responses both; null
 URLs have an empty key and no target header, null ids no page header and come last; an empty table gives an empty result.
@@ -21,18 +24,22 @@ import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice, pairwise
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, kept, mapped, prepare, scratch, slices, utf8
+from .common import NO_ID, kept, kept_with, mapped, prepare, scratch, slices, utf8
 
 END = "\r\n\r\n"
 START = "WARC/1.1\r\n"
 MARK = (END + START).encode()
 DATE = "2024-01-01T00:00:00Z"
+#: Rows of revisits (ids and digests) that are broadcast, captures in a range, and rows of a slice that become objects at once.
+SMALL, RANGE, AHEAD = 100_000, 200_000, 256
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -124,7 +131,8 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
     rows = rows.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     digests = kept(rows.where(F.octet_length("payload") >= least).select("id", "sha"))
     first = digests.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    repeats = digests.join(first, "sha").where("id <> first").select("id", "sha", F.col("first").alias("refers_to")).distinct()
+    repeats, found = kept_with(digests.join(first, "sha").where("id <> first").select("id", "sha", F.col("first").alias("refers_to")).distinct(), F.lit(1))
+    repeats = F.broadcast(repeats) if found <= SMALL else repeats
     out = rows.join(repeats, ["id", "sha"], "left").select("id", "url", "payload", "date", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,32 +222,36 @@ def _order(row: dict) -> tuple:
 def index(records: DataFrame, ranges: int | None = None) -> DataFrame:
     """Captures in order of (url_key, date, page_id) over all partitions; runs come from the tasks that read them."""
     names = [x.split()[0] for x in INDEX.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64()}
-    types = [kinds[x.split()[1]] for x in INDEX.split(", ")]
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in batch["url"].to_pylist()], pa.string()), *(batch[n] for n in names[1:])], names=names)
 
     order = [F.col("url_key"), F.col("date"), F.coalesce("page_id", F.lit(NO_ID))]
-    runs = mapped(records.select(*names[1:]), key, INDEX).withColumn("run", F.spark_partition_id()).sortWithinPartitions(*order)
-    dealt = kept(runs).repartitionByRange(*([ranges] if ranges else []), *order)
+    keyed = mapped(records.select(*names[1:]), key, INDEX).withColumn("run", F.spark_partition_id())
+    runs, n = kept_with(keyed.sortWithinPartitions(*order), F.lit(1))
+    parts = ranges or max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+    dealt = runs.repartitionByRange(parts, *order).sortWithinPartitions("run", *order)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices_: dict[int, list[dict]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                slices_.setdefault(row["run"], []).append(row)
-        for rows in slices_.values():  # the shuffle may hand a run over in pieces; sorting a sorted list is linear
-            rows.sort(key=_order)
-        out: list[dict] = []
-        for row in LoserTree([slices_[r] for r in sorted(slices_)], _order):
-            out.append(row)
-            if len(out) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in zip(names, types, strict=True)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in zip(names, types, strict=True)], names=names)
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        run = rows["run"].to_numpy()
+        starts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+
+        def slice_(a: int, b: int) -> Iterator[tuple]:
+            for i in range(a, b, AHEAD):
+                part = rows.slice(i, min(AHEAD, b - i)).select(["url_key", "date", "page_id"]).to_pylist()
+                for j, row in enumerate(part, i):
+                    yield _order(row), j
+
+        tree = LoserTree([slice_(a, b) for a, b in pairwise(starts)], lambda x: x[0])
+        rows = rows.select(names)
+        merged_ = (at for _, at in tree)
+        while part := list(islice(merged_, 10_000)):
+            yield from rows.take(pa.array(part)).combine_chunks().to_batches()
 
     return mapped(dealt, merge, INDEX)
 
