@@ -12,7 +12,8 @@
 
 Edge cases: null or empty texts, markup and addresses are no evidence; without any the posterior is the prior; ties go to
 the first language by name; unknown declared languages are ignored; no languages in the labels give null; repeated
-rows are scored each; an empty table gives an empty result; other columns stay.
+rows are scored each; an empty table gives an empty result; labels of more than `MOST` languages are refused; columns named `lang`
+or `posterior` are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import kept, mapped, slices, utf8
 from .toxicity import grams
 
 BITS, EVIDENCE = 16, 40
+#: Languages that a model may have: it is broadcast, 2^`BITS` numbers of four bytes for each.
+MOST = 256
 #: Chances that a witness names the right language.
 DECLARED, PATH, DOMAIN = 0.9, 0.8, 0.7
 #: Pseudo-counts of a domain's shares under its hosts', and of the overall shares under the domain's.
@@ -85,10 +88,14 @@ def learn(docs: DataFrame, lang_col: str = "lang") -> tuple[list[str], np.ndarra
                     sums[lang] = sums.get(lang, 0) + np.bincount(slots, minlength=1 << BITS)
         for lang, counts in sums.items():
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(counts[at])], names=["lang", "slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "slot", "n"])
 
     counted = mapped(docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), "text"), run, "lang string, slot long, n long")
-    found = counted.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^BITS rows for each language
+    found = kept(counted.groupBy("lang", "slot").agg(F.sum("n").alias("n")))
+    kinds = found.agg(F.count_distinct("lang")).first()[0]
+    if kinds > MOST:
+        raise ValueError(f"{kinds} languages in {lang_col}, at most {MOST} fit in a model")
+    found = found.toArrow()  # at most 2^BITS rows for each language
     names = sorted(set(found["lang"].to_pylist()))
     table = np.full((len(names), 1 << BITS), 0.5)
     place = {x: i for i, x in enumerate(names)}
@@ -182,7 +189,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     """Adds `lang` and `posterior` to the rows, whose text column goes. `url_col` may be a bare host or source."""
     url = F.col(url_col) if url_col else F.lit(None).cast("string")
     inner = rows.drop("lang", "posterior").withColumns({"__url": url, "__text": F.col(text_col)}).drop(text_col)
-    return fuse(likelihoods(inner, *model, markup), model[0]).drop("__url")
+    return fuse(kept(likelihoods(inner, *model, markup)), model[0]).drop("__url")  # texts are read once
 
 
 def digest(docs: DataFrame, pages: DataFrame) -> DataFrame:
