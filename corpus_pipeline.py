@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relgraph.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from relgraph.llm.common import prepare, scratch, table
+from relgraph.llm.common import prepare, remove, scratch, table
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +43,21 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage over all that the one before has kept, which is written as Parquet and read again."""
+    """Each stage over all that the one before has kept, which is written as Parquet and read again.
+
+    A stage's input is deleted once its output is written; that of the last stays, as the result reads it.
+    """
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     where = scratch(spark, "pipeline")
+    done = None
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             path = f"{where}/{n}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if done:
+                remove(spark, done)
+            done = path
     return docs
