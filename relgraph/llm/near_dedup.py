@@ -273,8 +273,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     same = ["k1", "k2", "n_shingles"]
     reps = kept(rows.where("n_shingles > 0").groupBy(*same).agg(F.min("__id").alias("node"), F.min("sketch").alias("sketch")))
     bands = _banded(reps)
-    crowd = bands.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    members = kept(bands.join(crowd.select("key", "lead").hint("merge"), "key").select("key", "node", "lead"))
+    # Sums by key are written before their rows are joined with them: of a join of two plain shuffles a hot key can be split.
+    crowd = kept(bands.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead"))
+    members = kept(bands.join(crowd.hint("merge"), "key").select("key", "node", "lead"))
     in_play = kept(reps.join(members.select("node").distinct(), "node", "left_semi"))
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     whole = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
@@ -293,9 +294,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     more = of_id.join(several, "__id").where("a < rep").select("a", F.col("rep").alias("b"))
     comps = components(links.unionByName(more))
     now = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-    of_node, left = kept_with(now.join(mixed.select("key").hint("merge"), "key", "left_semi").select("node", "comp").distinct(), F.lit(1))
+    mixed, left = kept_with(now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"), F.lit(1))
     if left:
+        of_node = kept(now.join(mixed.hint("merge"), "key", "left_semi").select("node", "comp").distinct())
         new, found = linked(_across(texts.join(of_node, "node"), size, percent))
         if found:
             comps = _joined(comps, new)
