@@ -79,10 +79,37 @@ b AS (SELECT page_id, strlen(t) AS payload_bytes, first, array_to_string(list_tr
     ((('0x' || substr(p.x, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest FROM p JOIN f ON f.x = p.x)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
 
+#: Words in windows of a size that occur twice or more; the union of all repeats of 8 words or more is that of repeated windows of 8.
+_WINDOWS = """
+k{n} AS (SELECT doc_id, i, hash(ws[i:i + {n} - 1]) AS h, hash(ws[i:i + {n} - 1], {n}) AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(0, len(ws) - {n} + 1) + 1)) AS i)),
+r{n} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h, g) AS n FROM k{n}) WHERE n > 1),
+c{n} AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {n})) AS p FROM r{n}) GROUP BY doc_id)"""
+
+QUALITY = f"""
+WITH d AS (SELECT doc_id, {_TEXT} AS t, regexp_extract_all({_TEXT}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+{_WINDOWS.format(n=5)}, {_WINDOWS.format(n=8)}, {_WINDOWS.format(n=101)},
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(l.n, 0) AS n_dup_lines, coalesce(c5.n, 0) AS n_repeat_words, coalesce(c8.n, 0) AS covered_words, coalesce(c101.n, 0) AS far
+    FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c5 USING (doc_id) LEFT JOIN c8 USING (doc_id) LEFT JOIN c101 USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 5 * covered_words <= n_words AND far = 0 AS kept FROM m"""
+
+NEAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD.format(_TEXT)}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS x FROM d, LATERAL (SELECT unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON b.x = a.x AND b.doc_id <> a.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
+
 ORACLE: dict[str, str] = {
     "op1_secret_scan": SECRETS,
     "op2_line_dedup": LINES,
     "op3_source_mix": MIX,
+    "op4_repetition": QUALITY,
     "op5_decontaminate": DECONTAMINATE,
+    "op7_near_dedup": NEAR,
     "op9_warc": WARC,
 }
