@@ -39,25 +39,37 @@ def _hash(id_col: str, text_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_of(text_col)).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds, under the names of `sums`, what rows before this one in a global order come to.
+
+    Rows are dealt to ranges of the order and summed there; ranges are summed once more, so no task holds all rows.
+    """
+    dealt = kept(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    inside = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranges = dealt.groupBy("__range").agg(*[F.sum(x).alias(n) for n, x in sums.items()])
+    earlier = W.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    ranges = ranges.select("__range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
+    out = dealt.select("*", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(n) for n, x in sums.items()])
+    return out.join(F.broadcast(ranges), "__range").withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__range", *[f"__{n}" for n in sums])
+
+
 def budgets(totals: DataFrame, weights: list[int], most: int) -> DataFrame:
     """(source, source_size) -> with `target`: shares by weight, filled up to the caps from the tightest source on.
 
     Sources stand in the order of their code points (UTF-8 bytes compare alike), null last, and take the weights in turn.
     A source is capped if its cap falls short of what its weight would give it of what the tighter ones leave.
     """
-    order = W.orderBy(F.col("source").isNull(), F.col("source"))
-    rows = totals.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    rows = rows.withColumn("cap", F.col("source_size") * most)
-    whole = W.partitionBy(F.lit(0))
-    tight = W.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
-    before = tight.rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.select(
-        "*",
-        (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("rest"),
-        (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0))).alias("rest_w"),
-    ).withColumn("capped", F.col("cap") / F.col("w") <= F.col("rest") / F.col("rest_w"))
-    free = F.when(~F.col("capped"), F.struct("rest", "rest_w"))
-    rows = rows.withColumn("free", F.max_by(free, F.when(~F.col("capped"), F.col("rest_w"))).over(whole))
+    names = [F.col("source").isNull(), F.col("source")]
+    rows = _before(totals, names, {"place": F.lit(1).cast("long")})
+    rows = rows.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long"))
+    rows = rows.withColumns({"cap": F.col("source_size") * most, "ratio": F.col("source_size") * most / F.col("w")})
+    rows = _before(rows, [F.col("ratio"), *names], {"caps": F.col("cap"), "ws": F.col("w")})
+    whole = rows.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
+    rows = rows.crossJoin(F.broadcast(whole))  # one row
+    rows = rows.withColumns({"rest": F.col("all_size") - F.col("caps"), "rest_w": F.col("all_w") - F.col("ws")})
+    rows = kept(rows.withColumn("capped", F.col("ratio") <= F.col("rest") / F.col("rest_w")).select("source", "source_size", "w", "cap", "rest", "rest_w", "capped"))
+    free = rows.where(~F.col("capped")).agg(F.max_by(F.struct("rest", "rest_w"), "rest_w").alias("free"))
+    rows = rows.crossJoin(F.broadcast(free))  # one row
     share = (F.col("free.rest") * F.col("w")).cast("double") / F.col("free.rest_w").cast("double")
     return rows.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
