@@ -179,6 +179,7 @@ def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
     domains = domains.select("__d", smooth(F.col("__dom"), F.lit(DOMAIN_MASS), F.col("__all")).alias("__dom"))
     priors = hosts.select("__h", "__d", F.array(*[f"s{i}" for i in range(k)]).alias("__n")).join(domains, "__d")
     priors = priors.select("__h", "__d", F.transform(smooth(F.col("__n"), F.lit(HOST_MASS), F.col("__dom")), lambda v: F.log(v)).alias("__prior"))
+    priors = kept(priors)  # a row for each host; of a join of two plain shuffles a hot host can be split
     out = own.join(priors, ["__h", "__d"]).withColumn("__sum", F.zip_with("__like", "__prior", lambda a, b: a + b)).withColumn("__post", _softmax(F.col("__sum")))
     best = F.array_position("__post", F.array_max("__post")).cast("int")
     out = out.withColumns({"lang": F.element_at(F.array(*map(F.lit, names)), best), "posterior": F.array_max("__post")})
