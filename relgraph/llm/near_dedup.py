@@ -6,8 +6,9 @@
 2. Documents with equal sets form one class, whose representative is the smallest id. Partial aggregation makes a
    hot class one row per task.
 3. Registers are banded (`ROWS` to a band, chance of no common band at similarity 0.85: 7e-6). Members of a
-   bucket are never all paired with each other: each is compared with the bucket's smallest member, so these links stay
-   linear in the members. Members of buckets that then still hold several components are joined exactly, between
+   bucket are never all paired with each other: each is compared with the one of the smallest id and, where these links leave
+   both apart, with that of the smallest set (of texts with one template it is the nearest to all) and one drawn by hash, so
+   links stay linear in the members. Members of buckets that then still hold several components are joined exactly, between
    components only, by prefixes of their sets in the order of rising frequency: the larger set offers its rarest
    (100 - percent) / 100 shingles, the smaller one its rarest (100 - percent) / (100 + percent), and what stands before a
    shared one bounds what two sets can have in common. Texts of one template differ in more than that share, so the
@@ -43,6 +44,8 @@ BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
 MARGIN = 5.5
 #: Counters of shingles' frequencies (2^`SLOTS`), and the rows of a shingle that one salt stands for.
 SLOTS, SALTED = 20, 256
+#: Ratio of sizes that are joined as one.
+WIDTH = 1.02
 _random = np.random.default_rng(20240229)
 _MULTIPLIERS = _random.integers(0, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _random.integers(0, 2**63, M, dtype=np.uint64)
@@ -134,7 +137,7 @@ def _summaries(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _banded(reps: DataFrame) -> DataFrame:
-    """Rows (key, node)."""
+    """Rows (key, node, n), n being the size of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +147,9 @@ def _banded(reps: DataFrame) -> DataFrame:
             keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None, :], regs.shape[:2])
             for i in range(ROWS):
                 keys = _mix(keys * np.uint64(0x10001) + regs[:, :, i] + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch["node"].to_numpy(), BANDS))], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(pa.array(np.repeat(batch[c].to_numpy(), BANDS)) for c in ("node", "n"))], names=["key", "node", "n"])
 
-    return mapped(reps.select("node", "sketch"), run, "key long, node long")
+    return mapped(reps.select("node", "sketch", F.col("n_shingles").alias("n")), run, "key long, node long, n long")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -225,7 +228,8 @@ def _across(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     The larger set of a pair (of equal ones that of the larger node) probes, the smaller one is found by its shorter
     prefix. Of a shingle, members of the component that holds it most often don't meet each other: `part` 0 takes
-    probes of others to all, `part` 1 probes of that component to others. What many sets are found by is salted.
+    probes of others to all, `part` 1 probes of that component to others. What many sets are found by is salted, and dealt
+    by size as well: a probe meets the sizes that it can be similar to.
     """
     rows = kept(_prefixes(texts, size, percent))
     short = F.col("place") <= F.floor(F.col("n") * (100 - percent) / (100 + percent))
@@ -233,14 +237,18 @@ def _across(texts: DataFrame, size: int, percent: int) -> DataFrame:
     of_token = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("found").alias("found"), F.count(F.lit(1)).alias("comps"))
     of_token = of_token.where("comps > 1 and found > 0").select("token", "main", F.ceil(F.col("found") / SALTED).alias("salts"))
     rows = rows.join(of_token.hint("merge"), "token")
+    # How small a set may be that a probe finds: from what must be common, and from where its shingle stands.
+    low, high = F.ceil(percent * F.col("n") / 100), F.least("n", F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n")))
+    size_bin = lambda n: F.when(F.col("salts") > 1, F.floor(F.log(n.cast("double")) / F.log(F.lit(WIDTH)))).otherwise(0)
     parts = F.explode(F.when(F.col("comp") == F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
-    one = rows.where(short).select("token", parts.alias("part"), F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("ib"))
+    one = rows.where(short).select("token", parts.alias("part"), F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), size_bin(F.col("n")).alias("bin"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("ib"))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
-    two = rows.select("token", (F.col("comp") == F.col("main")).cast("int").alias("part"), salts.alias("salt"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("place").alias("ia"))
+    two = rows.where(low <= high).withColumn("bin", F.explode(F.sequence(size_bin(low), size_bin(high))))
+    two = two.select("token", (F.col("comp") == F.col("main")).cast("int").alias("part"), salts.alias("salt"), "bin", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("place").alias("ia"))
     near = (F.col("ca") != F.col("cb")) & (F.struct("nb", "b") < F.struct("na", "a")) & (100 * F.col("nb") >= percent * F.col("na"))
     # What they share lies at or after the first shingle that both prefixes have.
     near &= (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
-    return two.join(one, ["token", "part", "salt"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return two.join(one, ["token", "part", "salt", "bin"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -274,8 +282,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     reps = kept(rows.where("n_shingles > 0").groupBy(*same).agg(F.min("__id").alias("node"), F.min("sketch").alias("sketch")))
     bands = _banded(reps)
     # Sums by key are written before their rows are joined with them: of a join of two plain shuffles a hot key can be split.
-    crowd = kept(bands.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead"))
-    members = kept(bands.join(crowd.hint("merge"), "key").select("key", "node", "lead"))
+    light, drawn = F.min(F.struct("n", "node"))["node"], F.min(F.struct(F.xxhash64("node", "key"), "node"))["node"]
+    crowd = bands.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.array_distinct(F.array(light, drawn)).alias("others"))
+    crowd = kept(crowd.where("lead < last").select("key", "lead", "others"))
+    members = kept(bands.join(crowd.hint("merge"), "key").select("key", "node", "lead", "others"))
     in_play = kept(reps.join(members.select("node").distinct(), "node", "left_semi"))
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     whole = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
@@ -287,13 +297,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     def linked(pairs: DataFrame) -> tuple[DataFrame, int]:
         return kept_with(_verified(_likely(pairs, in_play, least), texts, size, percent), F.lit(1))
 
-    links, _ = linked(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    pair = lambda lead: (F.least("node", lead).alias("a"), F.greatest("node", lead).alias("b"))
+    links, _ = linked(members.where("node <> lead").select(*pair("lead")).distinct())
     # An id that stands for several sets links their classes.
     of_id = rows.where("n_shingles > 0").join(reps.select(*same, F.col("node").alias("rep")), same)
     several = of_id.groupBy("__id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
     more = of_id.join(several, "__id").where("a < rep").select("a", F.col("rep").alias("b"))
     comps = components(links.unionByName(more))
-    now = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+
+    def placed(rows: DataFrame, node: str, comp: str) -> DataFrame:
+        of = comps.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
+        return rows.join(of, F.col(node) == F.col("__node"), "left").withColumn(comp, F.coalesce("__comp", node)).drop("__node", "__comp")
+
+    others = members.select("node", F.explode("others").alias("other")).distinct()
+    apart = placed(placed(others, "node", "ca"), "other", "cb").where("ca <> cb")
+    new, found = linked(apart.select(*pair("other")).distinct())
+    if found:
+        comps = _joined(comps, new)
+    now = placed(members.select("key", "node"), "node", "comp")
     mixed, left = kept_with(now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"), F.lit(1))
     if left:
         of_node = kept(now.join(mixed.hint("merge"), "key", "left_semi").select("node", "comp").distinct())

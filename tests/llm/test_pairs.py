@@ -90,6 +90,47 @@ def test_pairs_in_crowded_buckets(spark, pages, pairs):
     assert {r["doc_id"]: tuple(r)[1:] for r in near_dedup.digest(frame(spark, docs)).collect()} == want
 
 
+def test_template_with_own_parts_of_many_lengths(spark):
+    """Texts with short own parts are near to all, those with long ones to the shorter ones only."""
+    random.seed(8)
+    base = [f"w{random.randint(0, 10**6)}" for _ in range(400)]
+    docs = [(i, " ".join(base + [f"x{i}_{k}" for k in range(random.choice([3, 20, 36, 50, 58, 66, 75, 90]))])) for i in range(160)]
+    assert {r["doc_id"]: tuple(r)[1:] for r in near_dedup.digest(frame(spark, docs)).collect()} == brute_groups(docs)
+
+
+def test_comparisons_stay_linear_in_a_group(spark, monkeypatch):
+    """Texts of one template, most of which are linked: twice as many give about twice as many comparisons, not four times."""
+    random.seed(3)
+    base = [f"w{random.randint(0, 10**6)}" for _ in range(200)]
+    asked, likely = [], near_dedup._likely
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return likely(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_likely", counted)
+    totals = []
+    for n in (150, 600):
+        asked.clear()
+        docs = [(i, " ".join(base + [f"x{i}_{k}" for k in range(random.choice([5, 10, 15, 18, 20, 22, 25, 30]))])) for i in range(n)]
+        near_dedup.digest(frame(spark, docs)).count()
+        totals.append(sum(asked))
+    assert totals[1] < 8 * totals[0] and totals[1] < 40 * 600
+
+
+def test_hot_shingles_are_dealt_by_size(spark, monkeypatch):
+    """The exact join alone, with every shared shingle salted and dealt by size, finds each pair between components."""
+    random.seed(5)
+    monkeypatch.setattr(near_dedup, "SALTED", 3)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(i, " ".join(base[random.randint(0, 9) :] + [f"x{i}_{k}" for k in range(random.randint(0, 12))])) for i in range(60)]
+    texts = spark.createDataFrame([(i, t, i % 7 if i % 3 else 0) for i, t in docs], "node long, text string, comp long")
+    got = {tuple(r) for r in near_dedup._across(texts, 5, 85).collect()}
+    sets, comp = {i: shingles(t) for i, t in docs}, {i: i % 7 if i % 3 else 0 for i, _ in docs}
+    near = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert near and near <= got
+
+
 def test_likelihood_spares_links():
     """Of pairs at the threshold that share a band, fewer fall under the margin than have no band in common (7e-6)."""
     least = near_dedup.M * (0.85 - near_dedup.MARGIN * (0.85 * 0.15 / near_dedup.M) ** 0.5)
