@@ -147,14 +147,14 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", END + START).text(path)
+    return spark.read.option("lineSep", END + START).text(path).select("value", F.col("_metadata.file_name").alias("archive"))
 
 
-READ = "page_id long, url string, date string, record_type string, payload_digest string, payload_bytes long, refers_to long"
+READ = "page_id long, url string, date string, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string"
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """The records of archives under `path`; with `payloads`, a `payload` column (null for revisits)."""
+    """The records of archives under `path`, `archive` being the file's name; with `payloads`, a `payload` column (null for revisits)."""
     names = [x.split()[0] for x in READ.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64()}
     types = [kinds[x.split()[1]] for x in READ.split(", ")] + [pa.binary()] * payloads
@@ -163,7 +163,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "value"):
-                found = [parse(x) for x in utf8(batch["value"]) if x.strip()]
+                found = [parse(x) | {"archive": name} for x, name in zip(utf8(batch["value"]), batch["archive"].to_pylist(), strict=True) if x.strip()]
                 yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in zip(names, types, strict=True)], names=names)
 
     return mapped(_records(spark, path), run, READ + ", payload binary" * payloads)
@@ -257,10 +257,14 @@ def index(records: DataFrame, ranges: int | None = None) -> DataFrame:
 
 
 def digest(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """The columns of op9's contract: archives are written, read back, verified and indexed."""
+    """The columns of op9's contract: archives are written, read back, verified and indexed.
+
+    The table has no time of capture, so ids stand in for seconds of a year; captures of one URL are ordered by them.
+    """
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
-    write(pages, path)
+    dated = pages.select("page_id", "url", "html", F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod("page_id", F.lit(31_536_000))).alias("captured"))
+    write(dated, path, date_col="captured")
     return index(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
